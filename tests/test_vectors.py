@@ -1,0 +1,124 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from lexivane.functions.vectors import vec_cosine, vec_dot, vec_norm, vec_sqdist
+from lexivane.operators.neighbors import knn_graph
+from lexivane.operators.search import describe, response, search, search_batch
+
+ROWS = [
+    (1, [2.0, 0.0, 0.0, 0.0]),
+    (2, [1.0, 1.0, 0.0, 0.0]),
+    (3, [2.0, 2.0, 0.0, 0.0]),
+    (4, [0.0, 0.0, 0.0, 0.0]),
+    (5, [0.0, 1.0, 0.0, 0.0]),
+    (6, [1.0, 1.0, 1.0, 1.0]),
+    (7, [-1.0, 0.0, 0.0, 0.0]),
+]
+QUERY = [1.0, 0.0, 0.0, 0.0]
+SMALL = {"broadcast_bytes": 0, "block_bytes": 64 * 8 * 60}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.createDataFrame(ROWS, "id long, embedding array<float>")
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, sf):
+    """All vectors, plus a third as many copies of one of them."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    first = df.filter("id = 0").select("embedding", "label")
+    copies = spark.range(1000, 1250).join(F.broadcast(first), how="cross")
+    return df.unionByName(copies).cache()
+
+
+@pytest.fixture(scope="module")
+def arrays(vectors):
+    rows = vectors.orderBy("id").collect()
+    return np.array([r.id for r in rows]), np.array([r.embedding for r in rows], dtype=float), np.array([r.label for r in rows])
+
+
+def same(found, ids, values):
+    found = sorted(found)
+    assert [f[0] for f in found] == list(range(1, len(ids) + 1))
+    assert [f[1] for f in found] == list(ids)
+    assert np.allclose([f[2] for f in found], values, atol=1e-9)
+
+
+def test_expressions(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
+    r = df.select(vec_dot("a", "b"), vec_norm("b"), vec_sqdist("a", "b"), vec_cosine("a", "b"), vec_cosine("a", "z")).first()
+    assert r[0] == 13 and r[1] == pytest.approx(34**0.5) and r[2] == 13
+    assert r[3] == pytest.approx(13 / (5 * 34) ** 0.5) and r[4] is None
+
+
+def test_search_cases(corpus):
+    rows = search(corpus, QUERY).orderBy("rank").collect()
+    assert [(r.rank, r.id, round(r.similarity_score, 6)) for r in rows] == [(1, 1, 1.0), (2, 2, 0.707107), (3, 3, 0.707107)]
+    assert [r.id for r in search(corpus, QUERY, top_k=2).orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in search(corpus, QUERY, min_score=-2.0).orderBy("rank").collect()] == [1, 2, 3, 6, 5, 7]
+
+
+def test_search_plan_and_lookup(spark, corpus):
+    meta = spark.createDataFrame(
+        [(i, f"n{i}", f"u{i}", f"g{i}", "x" * 100) for i, _ in ROWS],
+        "id long, name string, url string, ingredients string, instructions string",
+    )
+    found = search(corpus, QUERY, meta=meta)
+    plan = plan_of(found)
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan
+    assert found.columns == ["rank", "id", "title", "recipe_url", "ingredients", "similarity_score"]
+    assert [r.title for r in found.collect()] == ["n1", "n2", "n3"]
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "block_bytes": 64}])
+def test_search_batch_equals_search(spark, corpus, limits):
+    queries = spark.createDataFrame(
+        [(10, QUERY), (11, [0.0, 3.0, 0.0, 0.0]), (12, [0.0] * 4)], "query_id long, embedding array<float>"
+    )
+    found = search_batch(corpus, queries, top_k=2, min_score=0.4, **limits)
+    got = sorted((r.query_id, r.rank, r.id) for r in found.collect())
+    assert got == [(10, 1, 1), (10, 2, 2), (11, 1, 5), (11, 2, 2)]
+    assert "WindowGroupLimit" in plan_of(found)
+    reply = {r.query_id: r for r in response(found).collect()}
+    assert [x.id for x in reply[11].results] == [5, 2] and reply[10].message == "OK"
+
+
+@pytest.mark.parametrize("limits", [{}, SMALL])
+def test_search_batch_brute_force(vectors, arrays, limits):
+    ids, x, _ = arrays
+    queries = vectors.select(F.col("id").alias("query_id"), "embedding")
+    got = {}
+    for r in search_batch(vectors, queries, 10, 0.2, **limits).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.similarity_score))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    for i, q in enumerate(ids):
+        order = [j for j in np.lexsort((ids, -scores[i])) if scores[i, j] > 0.2][:10]
+        same(got.get(q, []), ids[order], scores[i, order])
+
+
+@pytest.mark.parametrize("limits", [{}, SMALL])
+def test_knn_brute_force(vectors, arrays, limits):
+    ids, x, _ = arrays
+    got = {}
+    for r in knn_graph(vectors, 15, **limits).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbor_id, r.distance))
+    for i, q in enumerate(ids):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, d)) if j != i][:15]
+        same(got[q], ids[order], d[order])
+
+
+def test_unequal_dimensions_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        knn_graph(df, 1)
+
+
+def test_describe_keeps_query_keys(spark):
+    hits = spark.createDataFrame([(7, 1, 3, 0.9)], "query_id long, rank int, id long, similarity_score double")
+    meta = spark.createDataFrame([(3, "n", "u", "g")], "id long, name string, url string, ingredients string")
+    assert describe(hits, meta).first() == (7, 1, 3, "n", "u", "g", 0.9)
