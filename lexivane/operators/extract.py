@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexivane.functions.binding import let
 from lexivane.schemas import JSONLD_RECIPE, RECIPE
 
 # What a recipe link starts with, and the record type looked for.
@@ -79,8 +80,10 @@ def extract_links(
             F.lit("://"),
             F.try_parse_url(F.col(page_url), F.lit("HOST")),
         )
-    exploded = pages.select(*keep, root.alias("_root"), F.explode(links).alias("_href"))
-    return exploded.select(*keep, F.concat("_root", "_href").alias("url"))
+    # A plain explode would make the optimizer filter on the size of the array first and so
+    # search each page twice.
+    exploded = pages.select(*keep, root.alias("_root"), F.explode_outer(links).alias("_href"))
+    return exploded.filter(F.col("_href").isNotNull()).select(*keep, F.concat("_root", "_href").alias("url"))
 
 
 def dedup_urls(df: DataFrame, url: str = "url") -> DataFrame:
@@ -117,26 +120,30 @@ def extract_jsonld(
     """
 
     def parsed(body: Column) -> Column:
-        valid = F.try_parse_json(body).isNotNull()
-        is_object = valid & F.json_object_keys(body).isNotNull()
+        opens = F.substring(F.regexp_replace(body, r"^\s+", ""), 1, 1)
+        return let(
+            F.struct(F.try_parse_json(body).isNotNull().alias("valid"), opens.alias("opens")),
+            lambda seen: found_in(body, seen["valid"], seen["valid"] & (seen["opens"] == "{"), seen["opens"]),
+        )
+
+    def found_in(body: Column, valid: Column, is_object: Column, opens: Column) -> Column:
         one = F.when(is_object, F.from_json(body, schema, _JSON_OPTIONS))
         if if_array:
-            is_list = valid & F.json_array_length(body).isNotNull()
             many = F.from_json(body, T.ArrayType(schema), _JSON_OPTIONS)
-            return F.when(is_list, many).otherwise(F.array(one))
+            return F.when(valid & (opens == "["), many).otherwise(F.array(one))
         stop = (valid & ~is_object) | (body == "")
         return F.array(F.struct(F.coalesce(stop, F.lit(False)).alias("stop"), one.alias("item")))
 
     found = F.flatten(F.transform(jsonld_bodies(html), parsed))
     if if_array:
-        hits = F.filter(found, lambda r: r["@type"] == type_)
-        record = F.get(hits, F.lit(0))
+        record = F.filter(found, lambda r: r["@type"] == type_)
     else:
-        hits = F.filter(found, lambda r: r["stop"] | (r["item"]["@type"] == type_))
-        first = F.get(hits, F.lit(0))
-        record = F.when(~first["stop"], first["item"])
+        ends = F.filter(found, lambda r: r["stop"] | (r["item"]["@type"] == type_))
+        record = F.transform(ends, lambda r: F.when(~r["stop"], r["item"]))
     others = [c for c in pages.columns if c != html]
-    return pages.select(*others, record.alias(out)).filter(F.col(out).isNotNull())
+    # The first one, taken by an outer explode so that no filter repeats the extraction.
+    first = F.explode_outer(F.slice(record, 1, 1))
+    return pages.select(*others, first.alias(out)).filter(F.col(out).isNotNull())
 
 
 def flatten_recipe(df: DataFrame, record: str = "record", url: str = "url") -> DataFrame:
