@@ -4,7 +4,7 @@ Work over pairs of rows is done as matrix products inside Arrow batches, and onl
 reduced result (k best, sums per label) leaves a task. Two plans are offered:
 
 * one side small (size checked against ``BROADCAST_BYTES``): it is broadcast and the
-  other side is scanned where it lies, without a shuffle;
+  other side is scanned where it lies, however large it is;
 * otherwise both sides are cut into blocks of bounded size by a hash of the id, and each
   pair of blocks becomes one group. Memory per task is fixed by the block size, no key of
   the data decides the placement, so skewed labels or copies cannot make a hot task.
@@ -75,6 +75,14 @@ def tiles(rows: int, columns: int) -> Iterator[slice]:
         yield slice(start, min(rows, start + step))
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Even out a small table over all cores, for work that is heavy per row.
+
+    Only for tables that passed a size check: what is moved is bounded by it.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def block_id(key: str, n_blocks: int):
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 

@@ -80,7 +80,7 @@ def _block(k: int):
 
 
 def _scan(rows: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """The whole set fits in a broadcast: every task ranks its own rows, nothing is shuffled."""
+    """The whole set fits in a broadcast: every task ranks its own rows."""
     table = rows.toArrow()
     shared = rows.sparkSession.sparkContext.broadcast(
         (table["id"].to_numpy(), B.as_matrix(table["embedding"]))
@@ -94,4 +94,4 @@ def _scan(rows: DataFrame, k: int, schema: T.StructType) -> DataFrame:
                 columns = _nearest(ids, B.as_matrix(batch.column("embedding")), other_ids, other, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema.names)
 
-    return rows.mapInArrow(nearest, schema)
+    return B.spread(rows).mapInArrow(nearest, schema)

@@ -185,7 +185,7 @@ def _label_sums_of_pair(table: pa.Table) -> pa.Table:
 
 
 def _silhouette_scan(coded: DataFrame, kind: T.DataType) -> DataFrame:
-    """The whole set fits in a broadcast: every task scores its own rows, nothing is shuffled."""
+    """The whole set fits in a broadcast: every task scores its own rows."""
     table = coded.select("id", "embedding", "code").toArrow()
     shared = coded.sparkSession.sparkContext.broadcast(
         (table["id"].to_numpy(), B.as_matrix(table["embedding"]), table["code"].to_numpy())
@@ -219,7 +219,7 @@ def _silhouette_scan(coded: DataFrame, kind: T.DataType) -> DataFrame:
                 [batch.column("id"), batch.column("label"), pa.array(s)], schema.names
             )
 
-    return coded.select("id", "embedding", "label", "code").mapInArrow(score, schema)
+    return B.spread(coded.select("id", "embedding", "label", "code")).mapInArrow(score, schema)
 
 
 def melt_metrics(df: DataFrame) -> DataFrame:
