@@ -28,7 +28,7 @@ from lexivane.operators.categorize import categorize, category_string, keyword_c
 from lexivane.operators.classify import MultiLabelModel, fit_multilabel, hash_split, predict_multilabel
 from lexivane.operators.encode import BatchModel, HashedTfIdf, embed_text
 from lexivane.operators.graph import fuzzy_weights, reduce_graph, symmetrize
-from lexivane.operators.neighbors import knn_graph
+from lexivane.operators.neighbors import knn_graph, knn_graph_lsh
 from lexivane.operators.reduce import plot_table, project_2d, reduce_pca
 from lexivane.operators.scaling import add_noise, standardize
 from lexivane.plans.engine import CorpusEngine, metric_bars, run_analysis
@@ -45,6 +45,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 MIN_SCORE = 0.2  # the test vectors are nearly orthogonal; 0.5 would leave only self-matches
 DIMS = (64, 48, 32, 16)  # the 512-wide default does not fit the 64-wide test vectors
 BASE_URL = "https://example.org"
+BLOCKS = {"broadcast_bytes": 0, "block_bytes": 200 * 64 * 8}  # 200 vectors a block
 
 WORDS = Taxonomy(
     keywords={
@@ -165,6 +166,29 @@ def search_batch_described(spark, sf):
     )
 
 
+def search_batch_blocks(spark, sf):
+    """The plan for two large sides: pairs of blocks instead of a broadcast."""
+    v = _vectors(spark, sf)
+    asked = v.select(F.col("id").alias("query_id"), "embedding")
+    return S.search_batch(v, asked, S.TOP_K, MIN_SCORE, **BLOCKS).withColumn("similarity_score", _r("similarity_score"))
+
+
+def knn_graph_blocks(spark, sf):
+    return knn_graph(_vectors(spark, sf), **BLOCKS).withColumn("distance", _r("distance"))
+
+
+def knn_graph_lsh_q(spark, sf):
+    return knn_graph_lsh(_vectors(spark, sf), bits=4)
+
+
+def silhouette_blocks(spark, sf):
+    return Q.silhouette(_vectors(spark, sf), **BLOCKS).select(_r("silhouette").alias("silhouette"))
+
+
+def silhouette_fast(spark, sf):
+    return Q.silhouette(_vectors(spark, sf), mode="fast").select(_r("silhouette").alias("silhouette"))
+
+
 def search_response(spark, sf):
     v = _vectors(spark, sf)
     found = S.search_batch(v, v.select(F.col("id").alias("query_id"), "embedding"), S.TOP_K, MIN_SCORE)
@@ -539,12 +563,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_topk": search_topk,
         "search_batch": search_batch,
         "search_batch_described": search_batch_described,
+        "search_batch_blocks": search_batch_blocks,
         "search_response": search_response,
         "knn_graph": knn_graph_q,
+        "knn_graph_blocks": knn_graph_blocks,
+        "knn_graph_lsh": knn_graph_lsh_q,
         "standardize": standardize_q,
         "calinski_harabasz": calinski_harabasz,
         "silhouette_exact": silhouette_exact,
         "silhouette_rows": silhouette_rows,
+        "silhouette_blocks": silhouette_blocks,
+        "silhouette_fast": silhouette_fast,
         "reconstruction_mse": reconstruction_mse,
         "compare_spaces": compare_spaces,
         "hash_split": hash_split_q,
@@ -684,6 +713,10 @@ def oracle_sql() -> dict[str, str]:
     turns = "SELECT conv_id * 1000000 + turn AS id, lower(role) AS n, '' AS g, lower(text) AS s FROM conversations"
     only_words = Taxonomy(WORDS.keywords)
     plain_text = "SELECT doc_id AS id, '' AS n, lower(text) AS g, '' AS s FROM documents"
+    batch = f"""{_BATCH} SELECT query_id, rn::INTEGER AS rank, id, round(sim, 6) AS similarity_score
+        FROM best WHERE rn <= 10"""
+    knn = f"""{_KNN} SELECT id, neighbor_id, round(d, 6) AS distance, rn::INTEGER AS rank FROM near WHERE rn <= 15"""
+    mean_silhouette = f"WITH v AS ({_V}), {_SILHOUETTE} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil"
     return {
         "vec_norm": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
         "vec_dot_cosine": f"""WITH v AS ({_V}), m AS ({_MEAN})
@@ -694,20 +727,24 @@ def oracle_sql() -> dict[str, str]:
             top AS (SELECT id, sim, row_number() OVER (ORDER BY sim DESC, id) AS rn FROM s WHERE sim > {MIN_SCORE})
             SELECT rn::INTEGER AS rank, id, name AS title, url AS recipe_url, ingredients,
                    round(sim, 6) AS similarity_score FROM top JOIN meta USING (id) WHERE rn <= 10""",
-        "search_batch": f"""{_BATCH} SELECT query_id, rn::INTEGER AS rank, id, round(sim, 6) AS similarity_score
-            FROM best WHERE rn <= 10""",
+        "search_batch": batch,
+        "search_batch_blocks": batch,
         "search_batch_described": f"""{_BATCH}, meta AS ({_RECIPES_SQL})
             SELECT query_id, rn::INTEGER AS rank, id, name AS title, url AS recipe_url, ingredients,
                    round(sim, 6) AS similarity_score FROM best JOIN meta USING (id) WHERE rn <= 10""",
         "search_response": f"""{_BATCH} SELECT query_id, 'OK' AS message,
             string_agg(id::VARCHAR, ',' ORDER BY rn) AS result_ids FROM best WHERE rn <= 10 GROUP BY query_id""",
-        "knn_graph": f"""{_KNN} SELECT id, neighbor_id, round(d, 6) AS distance, rn::INTEGER AS rank
-            FROM near WHERE rn <= 15""",
+        "knn_graph": knn,
+        "knn_graph_blocks": knn,
         "standardize": f"""WITH x AS (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM ({_V})),
             s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS d FROM x GROUP BY pos)
             SELECT id, (pos - 1)::INTEGER AS pos, round((x - m) / d, 6) + 0.0 AS value FROM x JOIN s USING (pos)""",
         "calinski_harabasz": f"WITH v AS ({_V}), {_CALINSKI} SELECT {_CH_VALUE} AS calinski FROM ch",
-        "silhouette_exact": f"WITH v AS ({_V}), {_SILHOUETTE} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil",
+        "silhouette_exact": mean_silhouette,
+        "silhouette_blocks": mean_silhouette,
+        "silhouette_fast": mean_silhouette.replace(
+            "sum(list_distance(a.e, b.e))", "sum(list_distance(a.e, b.e) * list_distance(a.e, b.e))"
+        ),
         "silhouette_rows": f"WITH v AS ({_V}), {_SILHOUETTE} SELECT id, label, round(s, 6) + 0.0 AS silhouette FROM sil",
         "reconstruction_mse": f"""SELECT round(avg(d * d / 64), 9) AS mse FROM (
             SELECT list_distance(e, list_transform(e, lambda x: round(x, 1))) AS d FROM ({_V}))""",

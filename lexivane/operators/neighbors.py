@@ -1,13 +1,21 @@
-"""Exact k-nearest-neighbour graph under Euclidean distance."""
+"""k-nearest-neighbour graph under Euclidean distance, exact or through hash tables.
+
+The exact graph costs a distance per pair of rows, whatever the plan. Beyond some ten
+million rows use :func:`knn_graph_lsh`: rows are only compared when they fall on the same
+side of a set of random planes in one of several tables.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from lexivane.operators import blocks as B
 
@@ -27,14 +35,7 @@ def knn_graph(
     rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
     rows = rows.filter(F.col("embedding").isNotNull())
     size = B.extent_of(rows)
-    kind = rows.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", kind),
-            T.StructField("neighbor_id", kind),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+    schema = _schema(rows)
     if size.fits(broadcast_bytes):
         partial = _scan(rows, k, schema)
     else:
@@ -44,6 +45,73 @@ def knn_graph(
     return partial.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
 
+def knn_graph_lsh(
+    df: DataFrame,
+    k: int = NEIGHBORS,
+    tables: int = 8,
+    bits: int = 8,
+    id_col: str = "id",
+    vec: str = "embedding",
+    block_bytes: int = B.BLOCK_BYTES,
+    seed: int = 42,
+) -> DataFrame:
+    """Like ``knn_graph``, among the rows that share a bucket with a row in some table.
+
+    Neighbours in no common bucket are missed, so a row may get other or fewer ones; all
+    distances are exact. A bucket is never cut short: one that outgrows a block (many
+    copies of a row land together) is split into blocks, and all pairs of its blocks are
+    worked off as separate groups.
+    """
+    if not 1 <= bits <= 16:
+        raise ValueError("bits must be between 1 and 16")
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
+    rows = rows.filter(F.col("embedding").isNotNull())
+    size = B.extent_of(rows)
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    centre = rows.select(mean.alias("m")).first().m.toArray() if size.rows else np.zeros(1)
+    planes = np.random.default_rng(seed).standard_normal((size.dim or 1, tables * bits))
+
+    @arrow_udf("array<int>")
+    def buckets(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int32()))
+        side = (B.as_matrix(vectors) - centre) @ planes > 0
+        codes = side.reshape(-1, tables, bits) @ (1 << np.arange(bits))
+        return B.as_lists(codes.astype(np.int32))
+
+    coded = rows.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table", "bucket"))
+    rows_per_block = max(1, block_bytes // (8 * max(1, size.dim)))
+    counts = coded.groupBy("table", "bucket").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blocks")
+    )
+    # At most tables * 2^bits rows.
+    placed = coded.join(F.broadcast(counts), ["table", "bucket"]).withColumn(
+        "_block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
+    )
+    paired = (
+        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .withColumn("lo", F.least("_block", "_other"))
+        .withColumn("hi", F.greatest("_block", "_other"))
+        .select("id", "embedding", "table", "bucket", "_block", "lo", "hi")
+    )
+    found = paired.groupBy("table", "bucket", "lo", "hi").applyInArrow(_block(k), _schema(rows))
+    # The same pair may meet in several tables.
+    once = found.groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
+    return once.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+
+
+def _schema(rows: DataFrame) -> T.StructType:
+    kind = rows.schema["id"].dataType
+    return T.StructType(
+        [
+            T.StructField("id", kind),
+            T.StructField("neighbor_id", kind),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+
+
 def _nearest(ids, matrix, other_ids, other, k) -> list[np.ndarray]:
     """The k nearest rows of ``other`` for each row, never the row itself."""
     squares = (matrix**2).sum(axis=1)

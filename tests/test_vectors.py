@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from lexivane.functions.vectors import vec_cosine, vec_dot, vec_norm, vec_sqdist
-from lexivane.operators.neighbors import knn_graph
+from lexivane.operators.neighbors import knn_graph, knn_graph_lsh
 from lexivane.operators.search import describe, response, search, search_batch
 
 ROWS = [
@@ -112,6 +112,17 @@ def test_knn_brute_force(vectors, arrays, limits):
         same(got[q], ids[order], d[order])
 
 
+@pytest.mark.parametrize("block_bytes", [2**25, 64 * 8 * 40])
+def test_knn_lsh_is_a_good_part_of_the_exact_graph(vectors, block_bytes):
+    exact = {(r.id, r.neighbor_id): r.distance for r in knn_graph(vectors, 5).collect()}
+    found = knn_graph_lsh(vectors, 5, tables=12, bits=3, block_bytes=block_bytes).collect()
+    assert len(found) == len({(r.id, r.neighbor_id) for r in found}) and all(r.rank <= 5 for r in found)
+    shared = [(r.distance, exact[r.id, r.neighbor_id]) for r in found if (r.id, r.neighbor_id) in exact]
+    assert len(shared) > 0.8 * len(exact) and np.allclose(*zip(*shared), atol=1e-9)
+    copies = [r for r in found if r.id >= 1000]
+    assert len(copies) == 250 * 5 and all(r.distance == 0 for r in copies)
+
+
 def test_unequal_dimensions_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>")
     with pytest.raises(ValueError):
