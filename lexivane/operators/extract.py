@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane.functions.binding import let
+from lexivane.operators.ranks import global_rank
 from lexivane.schemas import JSONLD_RECIPE, RECIPE
 
 # What a recipe link starts with, and the record type looked for.
@@ -91,9 +92,14 @@ def dedup_urls(df: DataFrame, url: str = "url") -> DataFrame:
     return df.select(url).distinct()
 
 
-def cap_rows(df: DataFrame, n: int, by: str = "url") -> DataFrame:
-    """The first ``n`` rows in ``by`` order, so that the choice is repeatable."""
-    return df.orderBy(by).limit(n)
+def cap_rows(df: DataFrame, n: int, by: str = "url", top_n_limit: int = 100_000) -> DataFrame:
+    """The first ``n`` rows in ``by`` order, so that the choice is repeatable.
+
+    A top-n is merged by one task, so larger caps go by global ranks.
+    """
+    if n <= top_n_limit:
+        return df.orderBy(by).limit(n)
+    return global_rank(df, by, "_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
 def jsonld_bodies(html: str | Column) -> Column:

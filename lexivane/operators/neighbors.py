@@ -95,8 +95,8 @@ def knn_graph_lsh(
         .select("id", "embedding", "table", "bucket", "_block", "lo", "hi")
     )
     found = paired.groupBy("table", "bucket", "lo", "hi").applyInArrow(_block(k), _schema(rows))
-    # The same pair may meet in several tables.
-    once = found.groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    # The same pair may meet in several tables. Placed by id, both steps need one shuffle.
+    once = found.repartition("id").groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
     return once.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 

@@ -108,7 +108,8 @@ def silhouette_rows(
     if size.fits(broadcast_bytes):
         return _silhouette_scan(coded, kind)
     pairs = B.self_pairs(coded.select("id", "embedding", "code"), "id", size.blocks(block_bytes))
-    sums = pairs.groupBy("lo", "hi").applyInArrow(_label_sums_of_pair, sums_schema)
+    # Placed by id once, all that follows stays within a partition.
+    sums = pairs.groupBy("lo", "hi").applyInArrow(_label_sums_of_pair, sums_schema).repartition("id")
     counts = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"))
     per_label = sums.groupBy("id", "own", "code").agg(F.sum("total").alias("total")).join(counts, "code")
     own = F.col("own") == F.col("code")

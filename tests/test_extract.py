@@ -114,4 +114,5 @@ def test_dedup_and_cap(spark, sf):
     capped = cap_rows(urls, 5)
     assert [r.url for r in capped.collect()] == sorted(r.url for r in urls.collect())[:5]
     assert "TakeOrderedAndProject" in plan_of(capped)
+    assert sorted(r.url for r in cap_rows(urls, 20, top_n_limit=5).collect()) == sorted(r.url for r in urls.collect())[:20]
     assert "Python" not in plan_of(urls)

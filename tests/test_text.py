@@ -5,6 +5,7 @@ from conftest import plan_of
 from lexivane.functions.taxonomy import RECIPES, Taxonomy
 from lexivane.functions.text import DOCUMENT_TEMPLATE, QUERY_PREFIX, compose, filled, hash_percent
 from lexivane.operators import labels as L
+from lexivane.operators.ranks import global_rank
 from lexivane.operators.categorize import categorize, category_string, main_category
 
 CASES = [
@@ -102,7 +103,7 @@ def test_encode_labels_both_ways(spark):
     df = spark.createDataFrame([(x,) for x in "pera uva maçã uva abacaxi pera".split()], "fruit string")
     expected = {"abacaxi": 0, "maçã": 1, "pera": 2, "uva": 3}
     assert {r.fruit: r.code for r in L.encode_labels(df, "fruit").collect()} == expected
-    spread = L.distributed_codes(df.distinct(), "fruit", "code")
+    spread = global_rank(df.distinct(), "fruit", "code")
     assert {r.fruit: r.code for r in spread.collect()} == expected
 
 

@@ -29,8 +29,10 @@ def corpus(spark):
 def vectors(spark, sf):
     """All vectors, plus a third as many copies of one of them."""
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
-    first = df.filter("id = 0").select("embedding", "label")
-    copies = spark.range(1000, 1250).join(F.broadcast(first), how="cross")
+    first = df.filter("id = 0").first()
+    copies = spark.range(1000, 1250).select(
+        "id", F.lit(first.embedding).cast("array<float>").alias("embedding"), F.lit(first.label).alias("label")
+    )
     return df.unionByName(copies).cache()
 
 
