@@ -160,10 +160,9 @@ def search_batch(spark, sf):
 
 def search_batch_described(spark, sf):
     v = _vectors(spark, sf)
-    found = S.search_batch(v, v.select(F.col("id").alias("query_id"), "embedding"), S.TOP_K, MIN_SCORE)
-    return S.describe(found, _recipes(spark, sf)).select(
-        "query_id", "rank", "id", "title", "recipe_url", "ingredients", _r("similarity_score").alias("similarity_score")
-    )
+    asked = v.select(F.col("id").alias("query_id"), "embedding")
+    found = S.search_batch(v, asked, S.TOP_K, MIN_SCORE, meta=_recipes(spark, sf))
+    return found.withColumn("similarity_score", _r("similarity_score"))
 
 
 def search_batch_blocks(spark, sf):
@@ -542,8 +541,7 @@ def engine_search(spark, sf):
     encoder = HashedTfIdf.fit(docs.select(compose(DOCUMENT_TEMPLATE).alias("text")))
     corpus = embed_text(docs.select("id", compose(DOCUMENT_TEMPLATE).alias("text")), encoder=encoder)
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit(QUERY_PREFIX), "text").alias("text"))
-    found = S.search_batch(corpus, embed_text(asked, encoder=encoder))
-    return S.describe(found, docs)
+    return S.search_batch(corpus, embed_text(asked, encoder=encoder), meta=docs)
 
 
 def _as_recipe_table(df: DataFrame) -> DataFrame:

@@ -131,6 +131,14 @@ def test_unequal_dimensions_are_refused(spark):
         knn_graph(df, 1)
 
 
+def test_batch_lookup_broadcasts_the_hits_not_the_texts(spark, corpus):
+    meta = spark.createDataFrame([(i, f"n{i}", "u", "g") for i, _ in ROWS], "id long, name string, url string, ingredients string")
+    queries = spark.createDataFrame([(10, QUERY)], "query_id long, embedding array<float>")
+    found = search_batch(corpus, queries, 2, 0.5, meta=meta)
+    assert "BroadcastHashJoin" in plan_of(found)
+    assert sorted((r.query_id, r.rank, r.title) for r in found.collect()) == [(10, 1, "n1"), (10, 2, "n2")]
+
+
 def test_describe_keeps_query_keys(spark):
     hits = spark.createDataFrame([(7, 1, 3, 0.9)], "query_id long, rank int, id long, similarity_score double")
     meta = spark.createDataFrame([(3, "n", "u", "g")], "id long, name string, url string, ingredients string")
