@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from lexivane.operators import blocks as B
+from lexivane.session import cut
 
 # Fixed value: neighbours per row.
 NEIGHBORS = 15
@@ -37,14 +38,41 @@ def knn_graph(
     size = B.extent_of(rows)
     schema = _schema(rows)
     if size.fits(broadcast_bytes):
-        partial = _scan(rows, k, schema)
-    else:
-        pairs = B.self_pairs(rows, "id", size.blocks(block_bytes))
-        partial = pairs.groupBy("lo", "hi").applyInArrow(_block(k), schema)
+        return _ranked(_scan(rows, k, schema), k)
+    kept, settled = collapse_copies(rows, k)
+    pairs = B.self_pairs(kept, "id", size.blocks(block_bytes))
+    partial = pairs.groupBy("lo", "hi").applyInArrow(_block(k), schema)
+    return _ranked(partial.unionByName(settled), k)
+
+
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
     return partial.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
 
+def collapse_copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that still need a search, and the finished neighbours of all others.
+
+    Of the rows with one and the same vector only the k + 1 lowest ids can be anybody's
+    neighbour, as ties go by id. Any further copy has the k lowest ids as its neighbours,
+    at distance 0. The rank limit works map-side, so a vector shared by a third of all
+    rows costs no more than another; adaptive execution splits its side of the join.
+    """
+    keyed = rows.withColumn("_hash", F.xxhash64("embedding"))
+    copies = W.partitionBy("_hash", "embedding").orderBy("id")
+    kept = cut(keyed.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1))
+    crowded = (
+        kept.groupBy("_hash", "embedding")
+        .agg(F.sort_array(F.collect_list("id")).alias("_ids"))  # k + 1 at most
+        .filter(F.size("_ids") > k)
+    )
+    others = keyed.join(crowded, ["_hash", "embedding"]).filter(F.col("id") > F.element_at("_ids", -1))
+    settled = others.select(
+        "id", F.explode(F.slice("_ids", 1, k)).alias("neighbor_id"), F.lit(0.0).alias("distance")
+    )
+    return kept.select("id", "embedding"), settled
+
+
 def knn_graph_lsh(
     df: DataFrame,
     k: int = NEIGHBORS,
@@ -58,9 +86,8 @@ def knn_graph_lsh(
     """Like ``knn_graph``, among the rows that share a bucket with a row in some table.
 
     Neighbours in no common bucket are missed, so a row may get other or fewer ones; all
-    distances are exact. A bucket is never cut short: one that outgrows a block (many
-    copies of a row land together) is split into blocks, and all pairs of its blocks are
-    worked off as separate groups.
+    distances are exact. A bucket is never cut short: one that outgrows a block is split
+    into blocks, and all pairs of its blocks are worked off as separate groups.
     """
     if not 1 <= bits <= 16:
         raise ValueError("bits must be between 1 and 16")
@@ -79,7 +106,8 @@ def knn_graph_lsh(
         codes = side.reshape(-1, tables, bits) @ (1 << np.arange(bits))
         return B.as_lists(codes.astype(np.int32))
 
-    coded = rows.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table", "bucket"))
+    kept, settled = collapse_copies(rows, k)
+    coded = kept.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table", "bucket"))
     rows_per_block = max(1, block_bytes // (8 * max(1, size.dim)))
     counts = coded.groupBy("table", "bucket").agg(
         F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blocks")
@@ -97,8 +125,7 @@ def knn_graph_lsh(
     found = paired.groupBy("table", "bucket", "lo", "hi").applyInArrow(_block(k), _schema(rows))
     # The same pair may meet in several tables. Placed by id, both steps need one shuffle.
     once = found.repartition("id").groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
-    nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
-    return once.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    return _ranked(once.unionByName(settled), k)
 
 
 def _schema(rows: DataFrame) -> T.StructType:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from lexivane.functions.vectors import vec_cosine, vec_dot, vec_norm, vec_sqdist
-from lexivane.operators.neighbors import knn_graph, knn_graph_lsh
+from lexivane.operators.neighbors import collapse_copies, knn_graph, knn_graph_lsh
 from lexivane.operators.search import describe, response, search, search_batch
 
 ROWS = [
@@ -114,6 +114,12 @@ def test_knn_brute_force(vectors, arrays, limits):
         same(got[q], ids[order], d[order])
 
 
+def test_copies_are_collapsed_before_the_search(vectors):
+    kept, settled = collapse_copies(vectors.select("id", "embedding"), 15)
+    assert kept.count() == 499 + 16 and settled.count() == (251 - 16) * 15
+    assert sorted(r.neighbor_id for r in settled.filter("id = 1200").collect()) == [0, *range(1000, 1014)]
+
+
 @pytest.mark.parametrize("block_bytes", [2**25, 64 * 8 * 40])
 def test_knn_lsh_is_a_good_part_of_the_exact_graph(vectors, block_bytes):
     exact = {(r.id, r.neighbor_id): r.distance for r in knn_graph(vectors, 5).collect()}
