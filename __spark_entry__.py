@@ -34,7 +34,7 @@ from lexivane.operators.scaling import add_noise, standardize
 from lexivane.plans.engine import CorpusEngine, metric_bars, run_analysis
 from lexivane.plans.evaluate import compare_methods, evaluate_vectors, reduction_methods
 from lexivane.schemas import RECIPE
-from lexivane.session import scratch_path
+from lexivane.session import scratch_path, ship_package
 from lexivane.sources.metrics import read_metrics, write_metrics
 from lexivane.sources.pages import read_pages
 from lexivane.sources.recipes import read_recipes, write_recipes
@@ -551,76 +551,82 @@ def _as_recipe_table(df: DataFrame) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: every vector as a query against all vectors, ten best above the threshold."""
-    return search_batch(spark, SMOKE_DIR)
+    return search_batch(ship_package(spark), SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "vec_norm": vec_norm_q,
-        "vec_dot_cosine": vec_dot_cosine,
-        "search_topk": search_topk,
-        "search_batch": search_batch,
-        "search_batch_described": search_batch_described,
-        "search_batch_blocks": search_batch_blocks,
-        "search_response": search_response,
-        "knn_graph": knn_graph_q,
-        "knn_graph_blocks": knn_graph_blocks,
-        "knn_graph_lsh": knn_graph_lsh_q,
-        "standardize": standardize_q,
-        "calinski_harabasz": calinski_harabasz,
-        "silhouette_exact": silhouette_exact,
-        "silhouette_rows": silhouette_rows,
-        "silhouette_blocks": silhouette_blocks,
-        "silhouette_fast": silhouette_fast,
-        "reconstruction_mse": reconstruction_mse,
-        "compare_spaces": compare_spaces,
-        "hash_split": hash_split_q,
-        "compose_document": compose_document,
-        "compose_query": compose_query,
-        "categorize_keywords": categorize_keywords,
-        "categorize_rules": categorize_rules,
-        "categorize_default": categorize_default,
-        "main_category": main_category_q,
-        "category_string": category_string_q,
-        "multi_hot": multi_hot,
-        "primary_label": primary_label,
-        "encode_labels": encode_labels,
-        "weighted_f1": weighted_f1,
-        "extract_links": extract_links,
-        "extract_links_page_host": extract_links_page_host,
-        "dedup_urls": dedup_urls,
-        "cap_rows": cap_rows,
-        "extract_jsonld": extract_jsonld,
-        "flatten_recipe": flatten_recipe,
-        "melt_metrics": melt_metrics,
-        "rescale_metric": rescale_metric,
-        "csv_roundtrip": csv_roundtrip,
-        "vector_store": vector_store,
-        "load_or_build": load_or_build_q,
-        "metrics_json": metrics_json,
-        "ingest_links_stream": ingest_links_stream,
-        "ingest_recipes_stream": ingest_recipes_stream,
-        "stream_categorize": stream_categorize_q,
-        "embed_text_model": embed_text_model,
-        "predict_multilabel": predict_multilabel_q,
-        "fit_multilabel": fit_multilabel_q,
-        "reduce_pca_isometry": reduce_pca_isometry,
-        "neighbor_weights": neighbor_weights,
-        "symmetric_edges": symmetric_edges,
-        "reduce_pca": reduce_pca_q,
-        "embed_text": embed_text_q,
-        "add_noise": add_noise_q,
-        "autoencoder_encode": autoencoder_encode,
-        "training_loss": training_loss,
-        "reduce_graph": reduce_graph_q,
-        "project_2d": project_2d_q,
-        "project_2d_graph": project_2d_graph,
-        "plot_table": plot_table_q,
-        "evaluate_vectors": evaluate_vectors_q,
-        "compare_methods": compare_methods_q,
-        "engine_search": engine_search,
-        "run_analysis": run_analysis_q,
-    }
+    def ready(query):
+        return lambda spark, sf: query(ship_package(spark), sf)
+
+    return {name: ready(query) for name, query in _QUERIES.items()}
+
+
+_QUERIES = {
+    "vec_norm": vec_norm_q,
+    "vec_dot_cosine": vec_dot_cosine,
+    "search_topk": search_topk,
+    "search_batch": search_batch,
+    "search_batch_described": search_batch_described,
+    "search_batch_blocks": search_batch_blocks,
+    "search_response": search_response,
+    "knn_graph": knn_graph_q,
+    "knn_graph_blocks": knn_graph_blocks,
+    "knn_graph_lsh": knn_graph_lsh_q,
+    "standardize": standardize_q,
+    "calinski_harabasz": calinski_harabasz,
+    "silhouette_exact": silhouette_exact,
+    "silhouette_rows": silhouette_rows,
+    "silhouette_blocks": silhouette_blocks,
+    "silhouette_fast": silhouette_fast,
+    "reconstruction_mse": reconstruction_mse,
+    "compare_spaces": compare_spaces,
+    "hash_split": hash_split_q,
+    "compose_document": compose_document,
+    "compose_query": compose_query,
+    "categorize_keywords": categorize_keywords,
+    "categorize_rules": categorize_rules,
+    "categorize_default": categorize_default,
+    "main_category": main_category_q,
+    "category_string": category_string_q,
+    "multi_hot": multi_hot,
+    "primary_label": primary_label,
+    "encode_labels": encode_labels,
+    "weighted_f1": weighted_f1,
+    "extract_links": extract_links,
+    "extract_links_page_host": extract_links_page_host,
+    "dedup_urls": dedup_urls,
+    "cap_rows": cap_rows,
+    "extract_jsonld": extract_jsonld,
+    "flatten_recipe": flatten_recipe,
+    "melt_metrics": melt_metrics,
+    "rescale_metric": rescale_metric,
+    "csv_roundtrip": csv_roundtrip,
+    "vector_store": vector_store,
+    "load_or_build": load_or_build_q,
+    "metrics_json": metrics_json,
+    "ingest_links_stream": ingest_links_stream,
+    "ingest_recipes_stream": ingest_recipes_stream,
+    "stream_categorize": stream_categorize_q,
+    "embed_text_model": embed_text_model,
+    "predict_multilabel": predict_multilabel_q,
+    "fit_multilabel": fit_multilabel_q,
+    "reduce_pca_isometry": reduce_pca_isometry,
+    "neighbor_weights": neighbor_weights,
+    "symmetric_edges": symmetric_edges,
+    "reduce_pca": reduce_pca_q,
+    "embed_text": embed_text_q,
+    "add_noise": add_noise_q,
+    "autoencoder_encode": autoencoder_encode,
+    "training_loss": training_loss,
+    "reduce_graph": reduce_graph_q,
+    "project_2d": project_2d_q,
+    "project_2d_graph": project_2d_graph,
+    "plot_table": plot_table_q,
+    "evaluate_vectors": evaluate_vectors_q,
+    "compare_methods": compare_methods_q,
+    "engine_search": engine_search,
+    "run_analysis": run_analysis_q,
+}
 
 
 # --- SQL twins ------------------------------------------------------------------------

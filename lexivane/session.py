@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,26 @@ def local_session(app_name: str = "lexivane", cores: int | str = "*", **conf: st
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the Python workers, once per application.
+
+    Not needed where it is installed on the executors or given with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="lexivane-")) / "lexivane.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(package.rglob("*.py")):
+                archive.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(target))  # Spark serves it to the executors
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
