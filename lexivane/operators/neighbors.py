@@ -7,6 +7,8 @@ side of a set of random planes in one of several tables.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
@@ -23,6 +25,9 @@ from lexivane.session import cut
 # Fixed value: neighbours per row.
 NEIGHBORS = 15
 
+# Bucket sizes (three integers each) that may be broadcast.
+MAX_BROADCAST_COUNTS = 1_000_000
+
 
 def knn_graph(
     df: DataFrame,
@@ -77,7 +82,7 @@ def knn_graph_lsh(
     df: DataFrame,
     k: int = NEIGHBORS,
     tables: int = 8,
-    bits: int = 8,
+    bits: int | None = None,
     id_col: str = "id",
     vec: str = "embedding",
     block_bytes: int = B.BLOCK_BYTES,
@@ -87,13 +92,18 @@ def knn_graph_lsh(
 
     Neighbours in no common bucket are missed, so a row may get other or fewer ones; all
     distances are exact. A bucket is never cut short: one that outgrows a block is split
-    into blocks, and all pairs of its blocks are worked off as separate groups.
+    into blocks, and all pairs of its blocks are worked off as separate groups. ``bits``
+    planes make a bucket; by default as many as let buckets fill one block on average,
+    which keeps the work proportional to the rows.
     """
-    if not 1 <= bits <= 16:
-        raise ValueError("bits must be between 1 and 16")
     rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
     rows = rows.filter(F.col("embedding").isNotNull())
     size = B.extent_of(rows)
+    rows_per_block = max(1, block_bytes // (8 * max(1, size.dim)))
+    if bits is None:
+        bits = max(1, math.ceil(math.log2(max(1, size.rows) / rows_per_block)))
+    if not 1 <= bits <= 30:
+        raise ValueError("bits must be between 1 and 30")
     mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
     centre = rows.select(mean.alias("m")).first().m.toArray() if size.rows else np.zeros(1)
     planes = np.random.default_rng(seed).standard_normal((size.dim or 1, tables * bits))
@@ -108,12 +118,13 @@ def knn_graph_lsh(
 
     kept, settled = collapse_copies(rows, k)
     coded = kept.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table", "bucket"))
-    rows_per_block = max(1, block_bytes // (8 * max(1, size.dim)))
     counts = coded.groupBy("table", "bucket").agg(
         F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blocks")
     )
-    # At most tables * 2^bits rows.
-    placed = coded.join(F.broadcast(counts), ["table", "bucket"]).withColumn(
+    # There are at most tables * 2^bits counts; many of them are joined, not broadcast.
+    if tables * 2**bits <= MAX_BROADCAST_COUNTS:
+        counts = F.broadcast(counts)
+    placed = coded.join(counts, ["table", "bucket"]).withColumn(
         "_block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
     )
     paired = (

@@ -95,7 +95,7 @@ def run_available(rows: DataFrame, out_path: str, checkpoint: str) -> None:
     names another store.
     """
     spark = rows.sparkSession
-    if "HDFSBackedStateStoreProvider" in spark.conf.get(_PROVIDER_KEY, ""):
+    if spark.conf.get(_PROVIDER_KEY, None) is None:
         spark.conf.set(_PROVIDER_KEY, _ROCKSDB)
     query = (
         rows.writeStream.format("parquet")

@@ -18,6 +18,7 @@ def test_links_arrive_once_over_two_runs(spark, sf, tmp_path):
     assert first < links.count() == links.distinct().count()
     assert links.exceptAll(batch).isEmpty() and batch.exceptAll(links).isEmpty()
     assert ingest_stream(spark, source, out, mark, prefix="/", base="https://h").count() == batch.count()
+    assert list((tmp_path / "mark" / "state").rglob("*.zip")), "seen URLs are kept in RocksDB"
 
 
 def test_recipes_stream_equals_batch(spark, tmp_path):

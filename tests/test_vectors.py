@@ -120,10 +120,10 @@ def test_copies_are_collapsed_before_the_search(vectors):
     assert sorted(r.neighbor_id for r in settled.filter("id = 1200").collect()) == [0, *range(1000, 1014)]
 
 
-@pytest.mark.parametrize("block_bytes", [2**25, 64 * 8 * 40])
-def test_knn_lsh_is_a_good_part_of_the_exact_graph(vectors, block_bytes):
+@pytest.mark.parametrize("options", [{}, {"tables": 12, "bits": 3}, {"tables": 12, "bits": 3, "block_bytes": 64 * 8 * 40}])
+def test_knn_lsh_is_a_good_part_of_the_exact_graph(vectors, options):
     exact = {(r.id, r.neighbor_id): r.distance for r in knn_graph(vectors, 5).collect()}
-    found = knn_graph_lsh(vectors, 5, tables=12, bits=3, block_bytes=block_bytes).collect()
+    found = knn_graph_lsh(vectors, 5, **options).collect()
     assert len(found) == len({(r.id, r.neighbor_id) for r in found}) and all(r.rank <= 5 for r in found)
     shared = [(r.distance, exact[r.id, r.neighbor_id]) for r in found if (r.id, r.neighbor_id) in exact]
     assert len(shared) > 0.8 * len(exact) and np.allclose(*zip(*shared), atol=1e-9)
