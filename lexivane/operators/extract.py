@@ -28,11 +28,12 @@ _OPAQUE = (
 # Quoted attribute values may hold '>'. The possessive loop never backtracks.
 _ANCHOR = r"""(?i)<a[\s/](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
 _HREF = r"""(?i)[\s/"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-# Drops comments but keeps scripts whole (group 1), since JSON text may hold "<!--".
-_COMMENT_OR_SCRIPT = r"(?is)(<script\b.*?</script\s*>)|<!--.*?(?:-->|\z)"
+# JSON-LD bodies up to and with their end tag in group 1. Comments and other scripts are
+# matched too, with an empty group, so that nothing inside them is taken for a record.
 _JSONLD = (
-    r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>"""
-    r"""(.*?)</script\s*>"""
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"""|<script\b[^>]*?\btype\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>(.*?</script\s*>)"""
+    r"|<script\b.*?(?:</script\s*>|\z)"
 )
 # The character references that occur in attribute values; '&' goes last.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
@@ -105,8 +106,12 @@ def cap_rows(df: DataFrame, n: int, by: str = "url", top_n_limit: int = 100_000)
 def jsonld_bodies(html: str | Column) -> Column:
     """The bodies of all JSON-LD scripts of a page."""
     html = F.col(html) if isinstance(html, str) else html
-    uncommented = F.regexp_replace(html, _COMMENT_OR_SCRIPT, "$1")
-    return F.regexp_extract_all(uncommented, F.lit(_JSONLD), F.lit(1))
+    found = F.filter(F.regexp_extract_all(html, F.lit(_JSONLD), F.lit(1)), lambda m: m != "")
+
+    def without_end_tag(m: Column) -> Column:
+        return F.left(m, F.length(m) - F.length(F.substring_index(m, "</", -1)) - 2)
+
+    return F.transform(found, without_end_tag)
 
 
 def extract_jsonld(

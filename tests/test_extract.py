@@ -75,6 +75,13 @@ def test_ratings_quoted_or_bare(spark):
     assert (r.rating_value, r.rating_count) == (None, None)
 
 
+def test_script_text_is_not_seen(spark):
+    inner = "<script>var s = '" + page(J1)[6:].split("</script>")[0] + "';</script>"
+    assert recipes(spark, inner) == []
+    later = recipes(spark, inner + page('{"@type":"Recipe","name":"A </b> <!-- x"}'))
+    assert [r.name for r in later] == ["A </b> <!-- x"]
+
+
 def test_commented_script_is_not_seen(spark):
     assert recipes(spark, "<!-- " + page(J1) + " -->") == []
 
