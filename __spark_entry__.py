@@ -554,11 +554,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return search_batch(ship_package(spark), SMOKE_DIR)
 
 
+try:  # the training-data operators and their pipeline may be left out of an installation
+    import corpus_pipeline
+    from lexivane.llm import queries as _llm
+except ImportError:
+    _extra: tuple[dict, dict] = ({}, {})
+else:
+    _extra = ({**_llm.QUERIES, "pipeline": corpus_pipeline.run}, dict(_llm.ORACLE_SQL))
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _extra[1]["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         return lambda spark, sf: query(ship_package(spark), sf)
 
-    return {name: ready(query) for name, query in _QUERIES.items()}
+    return {name: ready(query) for name, query in {**_QUERIES, **_extra[0]}.items()}
 
 
 _QUERIES = {
@@ -713,6 +724,10 @@ def _space(name: str, vectors: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return {**_own_sql(), **_extra[1]}
+
+
+def _own_sql() -> dict[str, str]:
     urls = f"SELECT DISTINCT '{BASE_URL}' || href AS url FROM ({_LINKS})"
     turns = "SELECT conv_id * 1000000 + turn AS id, lower(role) AS n, '' AS g, lower(text) AS s FROM conversations"
     only_words = Taxonomy(WORDS.keywords)
