@@ -7,9 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import contain, jaccard, rules, tokens
+from lexivane.llm import contain, jaccard, langid, packing, pii, quality, rules, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
+URL_RULES = [
+    urls.Rule("allow", "com/"),
+    urls.Rule("block", "example.com/en/"),
+    urls.Rule("allow", "www.example.com/en/"),
+    urls.Rule("block", "net/es/"),
+    urls.Rule("block", "net/fr/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +31,31 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = pii.scan(_table(spark, sf_dir, "documents"))
+    return pii.report(pii.find_pii(scanned, pii.learn_patterns(scanned)))
+
+
+def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.apply_policy(rules.rule_ledger(_table(spark, sf_dir, "documents")))
     return ledger.select(
@@ -38,7 +66,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_url_filters": op3_url_filters,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
+    "op9_bestfit_packing": op9_bestfit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
