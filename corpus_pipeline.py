@@ -6,9 +6,12 @@ as Parquet in the shared folder and hands the reread table to the next stage.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexivane.llm import contain, jaccard, rules
+from lexivane.llm import contain, jaccard, packing, pii, rules
+from lexivane.llm.queries import TOKENIZER
 from lexivane.session import scratch_path, ship_package
 
 
@@ -30,12 +33,30 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return contain.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes a mark of its kind; ``n_chars`` follows the text."""
+    ship_package(spark)
+    redacted = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return redacted.select(docs.columns)
+
+
+def bestfit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its place in a training sequence."""
+    ship_package(spark)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard", ngram_jaccard),
     ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("bestfit_packing", bestfit_packing),
 ]
 
+# Greedy packing by task has no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from lexivane.llm.components import connected_components
 from lexivane.llm.ragged import blocks, mix, shingles
+from lexivane.llm.scratch import drop_scratch
 from lexivane.session import cut, scratch_path
 
 THRESHOLD = 0.8
@@ -274,6 +275,7 @@ def _links(df: DataFrame, threshold: float, id_col: str, text_col: str, block: i
     )
     ready = units.join(reps, "key").select("small", "group", "unit", "band", "block", "pi", "pj", "key", "copies", "text")
     found = cut(ready.groupBy("small", "group").applyInArrow(_verifier(threshold), _FOUND))
+    drop_scratch(spark, path)
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
     return found.groupBy("key").agg(F.sum("add").alias("n_links")), roots
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import contain, jaccard, langid, packing, pii, quality, rules, tokens, urls
+from lexivane.llm import contain, jaccard, langid, packing, pii, quality, rules, suffix, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
@@ -39,6 +39,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filters": op3_url_filters,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
