@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +55,12 @@ def extent_of(df: DataFrame, vec: str = "embedding") -> Extent:
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """List column to a (rows, dim) matrix of doubles."""
+    """List column to a (rows, dim) matrix of doubles; NULLs and mixed widths are refused."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    widths = pc.list_value_length(column)
+    if column.null_count or len(column) and pc.min(widths) != pc.max(widths):
+        raise ValueError("vectors must not be NULL and must agree in width")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -105,16 +109,17 @@ def self_pairs(df: DataFrame, key: str, n_blocks: int, out: tuple[str, str] = ("
     return paired.repartition(_partitions(df, n_blocks * (n_blocks + 1) // 2), lo, hi)
 
 
-def cross_blocks(
-    left: DataFrame, right: DataFrame, key: str, n_left: int, n_right: int
-) -> DataFrame:
-    """Both sides, tagged ``_left``, sent to every (left block, right block) combination."""
-    left_rows = left.withColumn("_left", F.lit(True)).withColumn("_lb", block_id(key, n_left))
-    left_rows = left_rows.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right_rows = right.withColumn("_left", F.lit(False)).withColumn("_rb", block_id(key, n_right))
-    right_rows = right_rows.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    both = left_rows.unionByName(right_rows)
-    return both.repartition(_partitions(left, n_left * n_right), "_lb", "_rb")
+def present(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The vectors of a column that are not NULL, and where they stand."""
+    at = np.flatnonzero(~np.asarray(column.is_null()))
+    return column.take(pa.array(at)), at
+
+
+def scatter(lists: pa.Array, at: np.ndarray, rows: int) -> pa.Array:
+    """Put results back to where their rows stand; the others are NULL."""
+    where = np.full(rows, -1)
+    where[at] = np.arange(len(at))
+    return lists.take(pa.array(where, mask=where < 0))
 
 
 def _partitions(df: DataFrame, groups: int) -> int:

@@ -6,6 +6,8 @@ serve batch and streaming inputs.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,24 +29,42 @@ _OPAQUE = (
 )
 # Quoted attribute values may hold '>'. The possessive loop never backtracks.
 _ANCHOR = r"""(?i)<a[\s/](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
-_HREF = r"""(?i)[\s/"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# The first attribute of that name: other name=value pairs are passed over whole, so text
+# inside their values is never taken for an attribute.
+_HREF = (
+    r"""(?i)^<a(?:[\s/]*+(?!href[\s=/>])[^\s/>=][^\s/=>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
+    r"""[\s/]*+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+)
 # JSON-LD bodies up to and with their end tag in group 1. Comments and other scripts are
 # matched too, with an empty group, so that nothing inside them is taken for a record.
 _JSONLD = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"""|<script\b[^>]*?\btype\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>(.*?</script\s*>)"""
+    r"""|<script\b[^>]*?(?<=[\s"'])type\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>(.*?</script\s*>)"""
     r"|<script\b.*?(?:</script\s*>|\z)"
 )
-# The character references that occur in attribute values; '&' goes last.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
+def _character(reference: Column) -> Column:
+    """What one character reference stands for; unknown names stay as they are."""
+    body = F.substring(reference, 2, F.length(reference) - 2)
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, F.length(body)), 16, 10)).otherwise(F.substring(body, 2, F.length(body)))
+    point = number.cast("long")
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    code = F.when(valid, point).otherwise(0xFFFD)
+    named = F.element_at(F.map_from_arrays(F.lit(list(_NAMED)), F.lit(list(_NAMED.values()))), body)
+    numeric = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(body.startswith("#"), numeric).otherwise(F.coalesce(named, reference))
+
+
 def _unescaped(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode character references in one pass, so decoded text is never decoded again."""
+    characters = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _character)
+    pieces = F.zip_with(F.split(text, _REFERENCE, -1), characters, lambda t, c: F.concat(t, F.coalesce(c, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def link_array(html: str | Column) -> Column:
@@ -124,7 +144,8 @@ def extract_jsonld(
 ) -> DataFrame:
     """The first JSON-LD record of type ``type_`` per page; pages without one drop out.
 
-    Malformed scripts are skipped. A script that is valid JSON but no object (a list, a
+    Malformed scripts are skipped; so are those that hold NaN or Infinity, which JSON does
+    not have. A script that is valid JSON but no object (a list, a
     scalar) or that is empty ends the search of that page without a result, which is
     what the strict mode is for; with ``if_array`` lists are searched like scripts of
     their own and the others are skipped.

@@ -25,6 +25,9 @@ from lexivane.session import cut
 # Fixed value: neighbours per row.
 NEIGHBORS = 15
 
+# Relative error of a squared distance that comes from a matrix product.
+NOISE = 1e-12
+
 # Bucket sizes (three integers each) that may be broadcast.
 MAX_BROADCAST_COUNTS = 1_000_000
 
@@ -37,9 +40,11 @@ def knn_graph(
     broadcast_bytes: int = B.BROADCAST_BYTES,
     block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
-    """``(id, neighbor_id, distance, rank)``: the k closest other rows, ties by id."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
-    rows = rows.filter(F.col("embedding").isNotNull())
+    """``(id, neighbor_id, distance, rank)``: the k closest other rows, ties by id.
+
+    Both plans give the same rows, whatever the lengths of the vectors.
+    """
+    rows = _comparable(df, id_col, vec)
     size = B.extent_of(rows)
     schema = _schema(rows)
     if size.fits(broadcast_bytes):
@@ -50,6 +55,14 @@ def knn_graph(
     return _ranked(partial.unionByName(settled), k)
 
 
+def _comparable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """Rows that have distances: a vector that is NULL, or has a NULL, NaN or infinite
+    component, is set aside; it neither gets neighbours nor is one."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return rows.filter(F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
+
+
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
     return partial.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
@@ -96,8 +109,7 @@ def knn_graph_lsh(
     planes make a bucket; by default as many as let buckets fill one block on average,
     which keeps the work proportional to the rows.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding"))
-    rows = rows.filter(F.col("embedding").isNotNull())
+    rows = _comparable(df, id_col, vec)
     size = B.extent_of(rows)
     rows_per_block = max(1, block_bytes // (8 * max(1, size.dim)))
     if bits is None:
@@ -151,22 +163,32 @@ def _schema(rows: DataFrame) -> T.StructType:
 
 
 def _nearest(ids, matrix, other_ids, other, k) -> list[np.ndarray]:
-    """The k nearest rows of ``other`` for each row, never the row itself."""
+    """The k nearest rows of ``other`` for each row, never the row itself.
+
+    A product gives each squared distance with an error below ``NOISE`` of that pair's own
+    squared lengths. Every row that could be among the k best within its own error is
+    measured exactly, and the exact distances decide; ids break ties.
+    """
     squares = (matrix**2).sum(axis=1)
     other_squares = (other**2).sum(axis=1)
-    # Products carry rounding noise of this relative size; below it rows count as tied.
-    quantum = max(squares.max(initial=0.0) + other_squares.max(initial=0.0), 1e-300) * 1e-12
     parts = []
     for tile in B.tiles(len(ids), len(other_ids)):
-        d2 = squares[tile, None] + other_squares - 2.0 * (matrix[tile] @ other.T)
-        scores = -np.rint(np.maximum(d2, 0.0) / quantum)
-        scores[ids[tile, None] == other_ids] = -np.inf
-        r, c = B.k_best(scores, other_ids, k)
+        both = squares[tile, None] + other_squares
+        d2 = both - 2.0 * (matrix[tile] @ other.T)
+        error = NOISE * both
+        d2[ids[tile, None] == other_ids] = np.inf
+        most = d2 + error
+        bound = np.partition(most, k - 1, axis=1)[:, k - 1 : k] if most.shape[1] > k else np.inf
+        r, c = np.nonzero((d2 - error <= bound) & (d2 < np.inf))
         exact = np.empty(len(r))
         for part in B.tiles(len(r), matrix.shape[1]):
             difference = matrix[tile][r[part]] - other[c[part]]
             exact[part] = np.sqrt((difference**2).sum(axis=1))
-        parts.append((ids[tile][r], other_ids[c], exact))
+        order = np.lexsort((other_ids[c], exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.searchsorted(r, np.arange(len(matrix[tile])))
+        best = np.arange(len(r)) - first[r] < k
+        parts.append((ids[tile][r[best]], other_ids[c[best]], exact[best]))
     return [np.concatenate(column) for column in zip(*parts)]
 
 
