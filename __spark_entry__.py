@@ -9,11 +9,13 @@ nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexivane.functions.taxonomy import RECIPES, Taxonomy
@@ -23,7 +25,7 @@ from lexivane.operators import extract as X
 from lexivane.operators import labels as L
 from lexivane.operators import quality as Q
 from lexivane.operators import search as S
-from lexivane.operators.autoencoder import fit_autoencoder
+from lexivane.operators.autoencoder import AutoencoderModel, fit_autoencoder
 from lexivane.operators.categorize import categorize, category_string, keyword_categories, main_category
 from lexivane.operators.classify import MultiLabelModel, fit_multilabel, hash_split, predict_multilabel
 from lexivane.operators.encode import BatchModel, HashedTfIdf, embed_text
@@ -45,6 +47,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 MIN_SCORE = 0.2  # the test vectors are nearly orthogonal; 0.5 would leave only self-matches
 DIMS = (64, 48, 32, 16)  # the 512-wide default does not fit the 64-wide test vectors
 BASE_URL = "https://example.org"
+FACTORS = (1.0, 1e-3, 1e4, 0.1, 1e6, 10.0, 100.0)
 BLOCKS = {"broadcast_bytes": 0, "block_bytes": 200 * 64 * 8}  # 200 vectors a block
 
 WORDS = Taxonomy(
@@ -176,8 +179,33 @@ def knn_graph_blocks(spark, sf):
     return knn_graph(_vectors(spark, sf), **BLOCKS).withColumn("distance", _r("distance"))
 
 
+def _scaled(spark, sf):
+    """Vectors whose lengths differ by up to nine powers of ten."""
+    factors = F.array(*[F.lit(x) for x in FACTORS])
+    factor = F.element_at(factors, (F.col("id") % len(FACTORS) + 1).cast("int"))
+    longer = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * factor)
+    return _vectors(spark, sf).withColumn("embedding", longer)
+
+
+def knn_graph_scaled(spark, sf):
+    return knn_graph(_scaled(spark, sf)).withColumn("distance", _r("distance", 4))
+
+
+def knn_graph_scaled_blocks(spark, sf):
+    return knn_graph(_scaled(spark, sf), **BLOCKS).withColumn("distance", _r("distance", 4))
+
+
 def knn_graph_lsh_q(spark, sf):
-    return knn_graph_lsh(_vectors(spark, sf), bits=4)
+    """Per row the neighbours found and whether their distances are those of the vectors."""
+    v = _vectors(spark, sf)
+    found = knn_graph_lsh(v, bits=4)
+    ends = found.join(v.select("id", F.col("embedding").alias("a")), "id")
+    ends = ends.join(v.select(F.col("id").alias("neighbor_id"), F.col("embedding").alias("b")), "neighbor_id")
+    apart = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    same = F.bool_and((F.abs(apart - F.col("distance")) < 1e-6) & (F.col("id") != F.col("neighbor_id")))
+    seen = ends.groupBy("id").agg(same.alias("exact"), (F.count("*") <= 15).alias("within_k"))
+    none = F.lit(True)
+    return v.select("id").join(seen, "id", "left").select("id", F.coalesce("exact", none).alias("exact"), F.coalesce("within_k", none).alias("within_k"))
 
 
 def silhouette_blocks(spark, sf):
@@ -385,8 +413,9 @@ def load_or_build_q(spark, sf):
     def refuse():
         raise AssertionError("built twice")
 
-    load_or_build(spark, path, lambda: v.select("id", "label"), stamp)
-    return load_or_build(spark, path, refuse, stamp)
+    load_or_build(spark, path, lambda: v, stamp)
+    loaded = load_or_build(spark, path, refuse, stamp)
+    return loaded.select("id", "label", F.size("embedding").alias("dim"), _r(vec_norm("embedding")).alias("norm"))
 
 
 def metrics_json(spark, sf):
@@ -466,29 +495,61 @@ def reduce_pca_isometry(spark, sf):
     return turned.select("id", _r(vec_dot("embedding", "embedding"), 5).alias("squared_norm"))
 
 
+def _products(df):
+    """Sums of products of each two components over all rows: (i, j, n, product)."""
+    each = df.select(F.col("embedding").alias("e"), F.posexplode("embedding").alias("i", "a"))
+    each = each.select("i", "a", F.posexplode("e").alias("j", "b")).filter("i <= j")
+    return each.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("product"))
+
+
+def _uncorrelated(df):
+    """Rows of each pair of components, and whether they are orthogonal."""
+    p = _products(df).withColumn("own", F.col("i") == F.col("j"))
+    size = p.filter("own").agg(F.max("product").alias("most"))
+    return p.join(F.broadcast(size)).select("i", "j", "n", (F.col("own") | (F.abs("product") < 1e-6 * F.col("most"))).alias("orthogonal"))
+
+
 def reduce_pca_q(spark, sf):
-    return reduce_pca(_vectors(spark, sf), 16).select("id", "embedding")
+    return _uncorrelated(reduce_pca(_vectors(spark, sf), 16))
 
 
 def embed_text_q(spark, sf):
     docs = _table(spark, sf, "documents")
-    return embed_text(docs, encoder=HashedTfIdf.fit(docs)).select("doc_id", "embedding")
+    embedded = embed_text(docs, encoder=HashedTfIdf.fit(docs))
+    length = F.when(F.trim("text") == "", 0.0).otherwise(_r(vec_norm("embedding"), 4))
+    same = F.min("doc_id").over(W.partitionBy("embedding"))
+    return embedded.select("doc_id", length.alias("norm"), same.alias("first_alike"))
 
 
 def add_noise_q(spark, sf):
-    return add_noise(_vectors(spark, sf)).select("id", "embedding")
+    """Per component: values, and whether mean and deviation of the noise are as asked for."""
+    v = _vectors(spark, sf)
+    noisy = add_noise(v).select("id", F.posexplode("embedding").alias("pos", "x"))
+    both = noisy.join(v.select("id", F.posexplode("embedding").alias("pos", "e")), ["id", "pos"])
+    d, n = F.col("x").cast("double") - F.col("e"), F.count("*")
+    spread = F.abs(F.stddev_pop(d) - 0.1) < 0.1 * 5 / F.sqrt(2 * n)
+    return both.groupBy("pos").agg(n.alias("n"), (F.abs(F.avg(d)) < 0.1 * 5 / F.sqrt(n)).alias("centred"), spread.alias("spread"))
 
 
 def _autoencoder(spark, sf):
-    return fit_autoencoder(_vectors(spark, sf), dims=DIMS, rounds=10, lr=1e-3, final_activation="linear")
+    return fit_autoencoder(_vectors(spark, sf), dims=DIMS, lr=1e-3, final_activation="linear")
 
 
 def autoencoder_encode(spark, sf):
-    return _autoencoder(spark, sf).encode(_vectors(spark, sf)).select("id", "embedding")
+    """Per row the width of the code, and whether it is one: not negative, and the same from
+    the saved weights."""
+    model, path = _autoencoder(spark, sf), scratch_path(spark, "autoencoder")
+    model.save(spark, path)
+    v = _vectors(spark, sf)
+    coded = AutoencoderModel.load(spark, path).encode(model.encode(v, out="code"), out="again")
+    return coded.select("id", F.size("code").alias("dim"), F.forall("code", lambda x: x >= 0).alias("positive"), (F.col("code") == F.col("again")).alias("kept"))
 
 
 def training_loss(spark, sf):
-    return _autoencoder(spark, sf).training_loss(spark)
+    """Per round, and whether its loss is below that of the first."""
+    losses = _autoencoder(spark, sf).training_loss(spark)
+    first = losses.filter("round = 1").select(F.col("loss").alias("first"))
+    return losses.join(F.broadcast(first)).select("round", ((F.col("round") < 50) | (F.col("loss") < F.col("first"))).alias("learned"))
 
 
 def neighbor_weights(spark, sf):
@@ -502,37 +563,60 @@ def symmetric_edges(spark, sf):
 
 
 def reduce_graph_q(spark, sf):
-    return reduce_graph(_vectors(spark, sf), dims=16, rounds=3)
+    """Products of each two coordinates: they are orthonormal."""
+    return _products(reduce_graph(_vectors(spark, sf), dims=16)).select("i", "j", "n", (_r("product", 5) + 0.0).alias("product"))
 
 
 def project_2d_q(spark, sf):
-    return project_2d(_vectors(spark, sf))
+    flat = project_2d(_vectors(spark, sf))
+    return _uncorrelated(flat.select("id", F.array("x", "y").alias("embedding")))
 
 
 def project_2d_graph(spark, sf):
-    return project_2d(_vectors(spark, sf), "graph", rounds=3)
+    flat = project_2d(_vectors(spark, sf), "graph").select(F.array("x", "y").alias("embedding"))
+    return _products(flat).select("i", "j", "n", (_r("product", 5) + 0.0).alias("product"))
 
 
 def plot_table_q(spark, sf):
-    return plot_table(project_2d(_vectors(spark, sf)), _tagged(spark, sf))
+    placed = plot_table(project_2d(_vectors(spark, sf)), _tagged(spark, sf))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return placed.select("id", "name", "main_category", "all_categories", F.md5("ingredients").alias("ingredients_md5"), both.alias("placed"))
 
 
 def evaluate_vectors_q(spark, sf):
-    return evaluate_vectors(_labelled(spark, sf), "base")
+    scored = evaluate_vectors(_labelled(spark, sf), "base")
+    return scored.select("name", _r("silhouette").alias("silhouette"), _r("calinski", 4).alias("calinski"), F.col("f1").between(0, 1).alias("f1_valid"))
 
 
 def compare_methods_q(spark, sf):
     v = _labelled(spark, sf)
-    options = {"dims": DIMS, "rounds": 5, "lr": 1e-3}
-    return compare_methods(reduction_methods(v, None, 16, options, {"rounds": 2}), v)
+    scored = compare_methods(reduction_methods(v, None, 16, {"dims": DIMS, "lr": 1e-3}), v)
+    return _valid(scored)
+
+
+def _valid(scored):
+    """Metrics by name, with those of the base set as values and all in their ranges."""
+    base = F.col("name") == "Base"
+    return scored.select(
+        "name",
+        F.when(base, _r("silhouette")).alias("base_silhouette"),
+        F.when(base, _r("calinski", 4)).alias("base_calinski"),
+        (F.col("f1").between(0, 1) & F.col("silhouette").between(-1, 1) & (F.col("calinski") >= 0)).alias("in_range"),
+    )
 
 
 def run_analysis_q(spark, sf):
     """The whole chain over the documents, at the default widths: text, vectors, encoder, metrics."""
     source, out = scratch_path(spark, "corpus"), scratch_path(spark, "analysis")
     write_recipes(_as_recipe_table(_recipes(spark, sf)), source, "parquet")
-    engine = CorpusEngine(spark, f"{out}/engine", taxonomy=WORDS, autoencoder={"rounds": 3})
-    return run_analysis(spark, source, out, "parquet", engine=engine, graph={"dims": 16, "rounds": 1})
+    engine = CorpusEngine(spark, f"{out}/engine", taxonomy=WORDS)
+    run_analysis(spark, source, out, "parquet", engine=engine, graph={"dims": 16})
+    outputs = {
+        "metrics": f"{out}/metrics/data", "plot_base": f"{out}/plot_base", "plot_reduced": f"{out}/plot_reduced",
+        "spaces": f"{out}/spaces", "bars": f"{out}/bars", "vectors": f"{out}/engine/vectors/data", "latent": f"{out}/engine/latent/data",
+    }
+    counts = [spark.read.parquet(path).select(F.lit(name).alias("output")) for name, path in outputs.items()]
+    return reduce(DataFrame.unionByName, counts).groupBy("output").agg(F.count("*").alias("n"))
 
 
 def engine_search(spark, sf):
@@ -582,6 +666,8 @@ _QUERIES = {
     "search_response": search_response,
     "knn_graph": knn_graph_q,
     "knn_graph_blocks": knn_graph_blocks,
+    "knn_graph_scaled": knn_graph_scaled,
+    "knn_graph_scaled_blocks": knn_graph_scaled_blocks,
     "knn_graph_lsh": knn_graph_lsh_q,
     "standardize": standardize_q,
     "calinski_harabasz": calinski_harabasz,
@@ -723,6 +809,12 @@ def _space(name: str, vectors: str) -> str:
         (WITH v AS ({vectors}), {_CALINSKI} SELECT {_CH_VALUE} FROM ch) AS calinski"""
 
 
+def _pairs_sql(dims: int, value: str) -> str:
+    """Each two of some components, the rows they are summed over, and what their product is."""
+    return f"""SELECT i::INTEGER AS i, j::INTEGER AS j, (SELECT count(*) FROM embeddings) AS n, {value}
+        FROM range({dims}) AS a(i), range({dims}) AS b(j) WHERE i <= j"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {**_own_sql(), **_extra[1]}
 
@@ -735,6 +827,15 @@ def _own_sql() -> dict[str, str]:
     batch = f"""{_BATCH} SELECT query_id, rn::INTEGER AS rank, id, round(sim, 6) AS similarity_score
         FROM best WHERE rn <= 10"""
     knn = f"""{_KNN} SELECT id, neighbor_id, round(d, 6) AS distance, rn::INTEGER AS rank FROM near WHERE rn <= 15"""
+    scaled = ", ".join(repr(x) for x in FACTORS)
+    scaled_knn = f"""{_KNN.replace(_V, f"SELECT id, list_transform(e, lambda x: x * ([{scaled}])[id % {len(FACTORS)} + 1]) AS e FROM ({_V})")}
+        SELECT id, neighbor_id, round(d, 4) AS distance, rn::INTEGER AS rank FROM near WHERE rn <= 15"""
+    base_scores = f"""WITH raw AS ({_V}), moments AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM
+            (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM raw) GROUP BY pos),
+        v AS (SELECT id, list((x - m) / s ORDER BY pos) AS e, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'label ' || label END AS label FROM
+            (SELECT id, label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM raw) JOIN moments USING (pos) GROUP BY id, label),
+        {_SILHOUETTE}, {_CALINSKI}, scores AS (SELECT (SELECT round(avg(s), 6) + 0.0 FROM sil) AS silhouette,
+            {_CH_VALUE.replace(", 6)", ", 4)")} AS calinski FROM ch)"""
     mean_silhouette = f"WITH v AS ({_V}), {_SILHOUETTE} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil"
     return {
         "vec_norm": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
@@ -810,7 +911,7 @@ def _own_sql() -> dict[str, str]:
             d.n_chars / 8.0::DOUBLE AS rating_value, d.n_chars AS rating_count, r.ingredients,
             md5(r.instructions) AS instructions_md5 FROM ({_RECIPES_SQL}) r JOIN documents d ON r.id = d.doc_id""",
         "vector_store": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm, len(e)::INTEGER AS dim FROM ({_V})",
-        "load_or_build": "SELECT vec_id AS id, label FROM embeddings",
+        "load_or_build": f"SELECT id, label, len(e)::INTEGER AS dim, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
         "metrics_json": f"""SELECT name, round(f1, 6) + 0.0 AS f1, round(silhouette, 6) AS silhouette,
             round(calinski, 6) AS calinski FROM ({_GROUPS})""",
         "ingest_links_stream": urls,
@@ -833,6 +934,29 @@ def _own_sql() -> dict[str, str]:
         "reduce_pca_isometry": f"""WITH x AS (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM ({_V})),
             s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS d FROM x GROUP BY pos)
             SELECT id, round(sum(((x - m) / d) * ((x - m) / d)), 5) AS squared_norm FROM x JOIN s USING (pos) GROUP BY id""",
+        "knn_graph_scaled": scaled_knn,
+        "knn_graph_scaled_blocks": scaled_knn,
+        "knn_graph_lsh": "SELECT vec_id AS id, TRUE AS exact, TRUE AS within_k FROM embeddings",
+        "reduce_pca": _pairs_sql(16, "TRUE AS orthogonal"),
+        "project_2d": _pairs_sql(2, "TRUE AS orthogonal"),
+        "project_2d_graph": _pairs_sql(2, "(i = j)::INTEGER::DOUBLE AS product"),
+        "reduce_graph": _pairs_sql(16, "(i = j)::INTEGER::DOUBLE AS product"),
+        "add_noise": f"""SELECT (pos - 1)::INTEGER AS pos, count(*) AS n, TRUE AS centred, TRUE AS spread
+            FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM ({_V})) GROUP BY pos""",
+        "embed_text": """SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm,
+            min(doc_id) OVER (PARTITION BY text) AS first_alike FROM documents""",
+        "autoencoder_encode": f"SELECT vec_id AS id, {DIMS[-1]}::INTEGER AS dim, TRUE AS positive, TRUE AS kept FROM embeddings",
+        "training_loss": "SELECT range::INTEGER AS round, TRUE AS learned FROM range(1, 101)",
+        "plot_table": f"""{_TAGGED} SELECT t.id, t.n AS name, list_min(cats) AS main_category,
+            array_to_string(list_sort(cats), ', ') AS all_categories, md5(g) AS ingredients_md5, TRUE AS placed
+            FROM tagged JOIN (SELECT id, name AS n, ingredients AS g FROM ({_RECIPES_SQL})) t USING (id)
+            JOIN embeddings ON vec_id = t.id""",
+        "evaluate_vectors": f"""{base_scores} SELECT 'base' AS name, silhouette, calinski, TRUE AS f1_valid FROM scores""",
+        "compare_methods": f"""{base_scores} SELECT name, CASE WHEN name = 'Base' THEN silhouette END AS base_silhouette,
+            CASE WHEN name = 'Base' THEN calinski END AS base_calinski, TRUE AS in_range
+            FROM scores, (VALUES ('Base'), ('Autoencoder'), ('PCA'), ('Graph')) AS m(name)""",
+        "run_analysis": """SELECT output, n FROM (SELECT count(*) AS rows FROM documents), LATERAL (VALUES ('metrics', 4), ('spaces', 2),
+            ('bars', 12), ('plot_base', rows), ('plot_reduced', rows), ('vectors', rows), ('latent', rows)) AS o(output, n)""",
         "neighbor_weights": """SELECT vec_id AS src, 15::BIGINT AS n, round(log2(15), 5) AS total, 1.0::DOUBLE AS top
             FROM embeddings""",
         "symmetric_edges": f"""{_KNN} SELECT id AS src, neighbor_id AS dst FROM near WHERE rn <= 15
