@@ -178,8 +178,9 @@ def extract_jsonld(
     return pages.select(*others, first.alias(out)).filter(F.col(out).isNotNull())
 
 
-def flatten_recipe(df: DataFrame, record: str = "record", url: str = "url") -> DataFrame:
-    """Nested record to the flat recipe columns; the page URL replaces any own URL."""
+def flatten_recipe(df: DataFrame, record: str = "record", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nested record to the flat recipe columns, and those to ``keep``; the page URL replaces
+    any own URL."""
     r = F.col(record)
     # array_join skips NULLs, but a step without text still counts as an empty one.
     ingredients = F.transform(r["recipeIngredient"], lambda i: F.coalesce(i, F.lit("")))
@@ -202,4 +203,4 @@ def flatten_recipe(df: DataFrame, record: str = "record", url: str = "url") -> D
         "ingredients": F.coalesce(F.array_join(ingredients, ", "), F.lit("")),
         "instructions": F.coalesce(F.array_join(steps, " "), F.lit("")),
     }
-    return df.select(*(values[name].alias(name) for name in RECIPE.fieldNames()))
+    return df.select(*(values[name].alias(name) for name in RECIPE.fieldNames()), *keep)

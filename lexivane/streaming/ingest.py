@@ -74,9 +74,12 @@ def link_stream(
     return deduplicate(extract_links(pages, prefix, base, keep=keep, distinct_in_page=True), "url", event_time, delay)
 
 
-def recipe_stream(pages: DataFrame, type_: str = RECIPE_TYPE) -> DataFrame:
-    """Flat recipes of a stream of pages, one per page URL."""
-    return deduplicate(flatten_recipe(extract_jsonld(pages, type_)))
+def recipe_stream(
+    pages: DataFrame, type_: str = RECIPE_TYPE, event_time: str | None = None, delay: str | None = None
+) -> DataFrame:
+    """Flat recipes of a stream of pages, one per page URL; event time as for links."""
+    keep = () if event_time is None else (event_time,)
+    return deduplicate(flatten_recipe(extract_jsonld(pages, type_), keep=keep), "url", event_time, delay)
 
 
 def stream_categorize(
@@ -92,20 +95,25 @@ def run_available(rows: DataFrame, out_path: str, checkpoint: str) -> None:
 
     A later call with the same checkpoint goes on where this one ended. The state of
     seen keys grows with them, so it is kept in RocksDB, on disk, unless the session
-    names another store.
+    names another store. The session's own settings are as before afterwards.
     """
     spark = rows.sparkSession
-    if spark.conf.get(_PROVIDER_KEY, None) is None:
+    unset = spark.conf.get(_PROVIDER_KEY, None) is None
+    if unset:
         spark.conf.set(_PROVIDER_KEY, _ROCKSDB)
-    query = (
-        rows.writeStream.format("parquet")
-        .option("path", out_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    try:
+        query = (
+            rows.writeStream.format("parquet")
+            .option("path", out_path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if unset:
+            spark.conf.unset(_PROVIDER_KEY)
 
 
 def ingest_stream(

@@ -123,3 +123,22 @@ def test_dedup_and_cap(spark, sf):
     assert "TakeOrderedAndProject" in plan_of(capped)
     assert sorted(r.url for r in cap_rows(urls, 20, top_n_limit=5).collect()) == sorted(r.url for r in urls.collect())[:20]
     assert "Python" not in plan_of(urls)
+
+
+def _links(spark, html):
+    df = spark.createDataFrame([(1, "https://h/p", html)], "page_id long, url string, html string")
+    return [r.url for r in extract_links(df, "/receita/", "https://h").collect()]
+
+
+def test_attribute_order_and_references(spark):
+    assert _links(spark, '<a title="see href=/receita/no here" href="/receita/yes">') == ["https://h/receita/yes"]
+    assert _links(spark, "<a title='x'href='/receita/1' href='/receita/2'>") == ["https://h/receita/1"]
+    assert _links(spark, '<a data-href="/receita/no" href=/receita/3?a=b/c>') == ["https://h/receita/3?a=b/c"]
+    assert _links(spark, '<a disabled href = "&#47;receita&#x2F;x&amp;lt;&eacute;&unknown;&#0;">') == ["https://h/receita/x&lt;\u00e9&unknown;\ufffd"]
+    assert _links(spark, "<a " + "x=1 " * 20_000 + "href=/receita/long>") == ["https://h/receita/long"]
+
+
+def test_type_attribute_only(spark):
+    page = '<script data-type="application/ld+json">{"@type":"Recipe","name":"no"}</script>' + "<script type='application/ld+json'>{\"@type\":\"Recipe\",\"name\":\"yes\"}</script>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert [r.record.name for r in extract_jsonld(df).collect()] == ["yes"]

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexivane.operators.categorize import categorize
 from lexivane.operators.extract import dedup_urls, extract_jsonld, extract_links, flatten_recipe
-from lexivane.streaming.ingest import deduplicate, ingest_stream, link_stream, run_available, stream_categorize, stream_pages, thin
+from lexivane.streaming.ingest import deduplicate, ingest_stream, link_stream, recipe_stream, run_available, stream_categorize, stream_pages, thin
 
 BODY = '<script type="application/ld+json">{"@type":"Recipe","name":"r%d"}</script>'
 
@@ -53,3 +53,17 @@ def test_streaming_categories_equal_batch(spark, tmp_path):
     df.write.parquet(source)
     run_available(stream_categorize(stream_pages(spark, source, df.schema)), out, mark)
     assert sorted(spark.read.parquet(out).collect()) == sorted(categorize(df).collect())
+
+
+def test_recipes_with_event_time_equal_batch(spark, tmp_path):
+    rows = [(i, f"http://p/{i // 2}", BODY % (i // 2), f"2024-01-01 00:{59 - i:02d}:00") for i in range(20)]  # late ones too
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    pages.repartition(4).write.parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    stream = stream_pages(spark, source, pages.schema, max_files_per_trigger=1)
+    run_available(recipe_stream(stream, event_time="ts", delay="2 hours"), out, mark)
+    got = spark.read.parquet(out).drop("ts")
+    batch = flatten_recipe(extract_jsonld(pages)).distinct()
+    assert got.exceptAll(batch).isEmpty() and got.count() == batch.count() == 10
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before

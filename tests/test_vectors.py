@@ -149,3 +149,73 @@ def test_describe_keeps_query_keys(spark):
     hits = spark.createDataFrame([(7, 1, 3, 0.9)], "query_id long, rank int, id long, similarity_score double")
     meta = spark.createDataFrame([(3, "n", "u", "g")], "id long, name string, url string, ingredients string")
     assert describe(hits, meta).first() == (7, 1, 3, "n", "u", "g", 0.9)
+
+
+def _brute_neighbours(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return [tuple(np.lexsort((np.arange(len(x)), row))[:k]) for row in d]
+
+
+@pytest.mark.parametrize("length", [1.0, 1e6, 1e8])
+def test_neighbours_beside_one_long_vector(spark, length):
+
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= length
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, [float("nan")] * 8), (401, None), (402, [float("inf")] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for plan in ({}, {"broadcast_bytes": 0, "block_bytes": 50 * 64}):
+        got = {}
+        for r in knn_graph(df, 5, **plan).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.neighbor_id)
+        assert [tuple(got[i]) for i in range(300)] == _brute_neighbours(x, 5) and len(got) == 300
+
+
+def test_mixed_widths_are_refused(spark):
+
+    corpus = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "query_id long, embedding array<double>")
+    for plan in ({}, {"broadcast_bytes": 0}):
+        for some in (corpus, corpus.filter("id = 1")):
+            with pytest.raises(ValueError):
+                search_batch(some, asked, **plan)
+
+
+def test_many_queries_leave_the_corpus_in_place(spark):
+
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = df.withColumnRenamed("id", "query_id")
+    one, many = search_batch(df, asked, 3), search_batch(df, asked, 3, broadcast_bytes=0, block_bytes=10 * 32)
+    plan = plan_of(many)
+    assert sorted(one.collect()) == sorted(many.collect())
+    assert plan.count("MapInArrow") > 1 and plan.count("Exchange") == 1  # the ranking alone
+
+
+def test_more_results_than_one_task_ranks(spark, monkeypatch):
+    from lexivane.operators import search as S
+
+    df = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(50)], "id long, embedding array<double>")
+    few = S.search(df, [1.0, 2.0], 30, 0.1).collect()
+    monkeypatch.setattr(S, "MAX_TOP_K", 5)
+    assert sorted(map(tuple, S.search(df, [1.0, 2.0], 30, 0.1).collect())) == sorted(map(tuple, few))
+
+
+def test_missing_vectors_pass_through_models(spark):
+    from lexivane.operators.autoencoder import AutoencoderModel, Network
+    from lexivane.operators.classify import MultiLabelModel
+
+    df = spark.createDataFrame([(1, [1.0, -1.0]), (2, None)], "id long, embedding array<double>")
+    model = MultiLabelModel(["a"], np.array([[1.0, 0.0]]), np.array([0.0]))
+    assert [r.predicted for r in model.predict(df).orderBy("id").collect()] == [[1], None]
+    coded = AutoencoderModel(Network((2, 1)).initialise(1), ()).encode(df, out="code")
+    assert [r.code is None for r in coded.orderBy("id").collect()] == [False, True]
+
+
+def test_fingerprints_see_where_a_null_stands(spark):
+    from lexivane.sources.vectors import fingerprint
+
+    a = spark.createDataFrame([("x", None)], "a string, b string")
+    b = spark.createDataFrame([(None, "x")], "a string, b string")
+    assert fingerprint(a) != fingerprint(b)
