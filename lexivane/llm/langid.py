@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,14 +156,13 @@ def _sample(df: DataFrame, n: int, text_col: str, lang_col: str, rows: int, valu
     share = min(1.0, (2 * rows + 100) / max(1, n))  # a range of hashes that holds enough rows
     some = some.filter(F.col("o") <= int(-(1 << 63) + share * ((1 << 64) - 1025))).dropDuplicates(["o", "l"])
     some = some.orderBy("o", "l").limit(rows).select("l", "o", counted("x").alias("f"))
-    kept, langs, used = [], [], 0
+    # the bound on values holds before anything is collected; the first text is always taken
+    size = F.size("f.b")
+    some = some.withColumn("used", F.sum(size).over(W.orderBy("o", "l"))).filter((F.col("used") <= values) | (F.col("used") == size))
+    kept, langs = [], []
     for batch in some.orderBy("o", "l").toArrow().to_batches():
         for lang, f in zip(batch["l"].to_pylist(), batch["f"]):
-            b = f["b"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-            used += len(b)
-            if used > values and kept:
-                return kept, langs
-            kept.append((b, f["t"].values.to_numpy(zero_copy_only=False)))
+            kept.append((f["b"].values.to_numpy(zero_copy_only=False).astype(np.int64), f["t"].values.to_numpy(zero_copy_only=False)))
             langs.append(lang)
     return kept, langs
 

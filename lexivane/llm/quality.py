@@ -19,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,13 +197,13 @@ def train(
     found = docs.select(F.col(id_col).alias("i"), text.alias("x")).join(F.broadcast(chosen), "i")
     # repeated ids may bring more rows than labels
     found = found.select("y", F.xxhash64("i", "x").alias("h"), "x").orderBy("h", "y").limit(rows).select("h", "y", _featurized("x").alias("f"))
+    # the bound on values holds before anything is collected; the first text is always taken
+    size = F.size("f.b")
+    found = found.withColumn("used", F.sum(size).over(W.orderBy("h", "y"))).filter((F.col("used") <= values) | (F.col("used") == size))
     table = found.orderBy("h", "y").toArrow()
-    sizes, label, parts, used = [], [], [], 0
+    sizes, label, parts = [], [], []
     for y, f in zip(table["y"].to_pylist(), table["f"].combine_chunks() if table.num_rows else []):
         b = f["b"].values.to_numpy(zero_copy_only=False)
-        used += len(b)
-        if used > values and label:
-            break
         sizes.append(len(b))
         label.append(y)
         parts.append((b, f["v"].values.to_numpy(zero_copy_only=False), f["d"].values.to_numpy(zero_copy_only=False)))
