@@ -36,8 +36,8 @@ from lexivane.llm.scratch import drop_scratch
 from lexivane.session import cut, scratch_path
 
 LENGTH = 400
-SHARD_BYTES = 2 << 20
-HOT_REGIONS = 2000  # regions of one hash that one shard takes
+SHARD_BYTES = 1 << 20
+HOT_REGIONS = 1500  # regions of one hash that one shard takes
 PART_STRINGS = 500_000  # strings of one hash whose fingerprints are merged together
 BROADCAST_KEYS = 500_000  # digests (16 bytes each) that are broadcast at most
 
