@@ -234,11 +234,16 @@ def rescale_metric(df: DataFrame, metric: str = "calinski", divisor: float = CAL
     return df.withColumn("Score", scaled)
 
 
-def compare_spaces(spaces: dict[str, DataFrame], id_col: str = "id", vec: str = "embedding", label: str = "label") -> DataFrame:
-    """Silhouette and Calinski-Harabasz of each vector set, unscaled: ``(name, silhouette, calinski)``."""
+def compare_spaces(
+    spaces: dict[str, DataFrame], id_col: str = "id", vec: str = "embedding", label: str = "label", mode: str = "exact"
+) -> DataFrame:
+    """Silhouette and Calinski-Harabasz of each vector set, unscaled: ``(name, silhouette, calinski)``.
+
+    ``mode`` is that of :func:`silhouette`.
+    """
     rows = []
     for name, df in spaces.items():
-        s = silhouette(df, id_col, vec, label).select(F.lit("silhouette").alias("m"), F.col("silhouette").alias("v"))
+        s = silhouette(df, id_col, vec, label, mode=mode).select(F.lit("silhouette").alias("m"), F.col("silhouette").alias("v"))
         c = calinski_harabasz(df, vec, label).select(F.lit("calinski").alias("m"), F.col("calinski").alias("v"))
         rows.append(s.unionByName(c).withColumn("name", F.lit(name)))
     table = rows[0]
