@@ -149,6 +149,32 @@ def test_url_model_on_hosts_it_has_not_seen():
     assert (good < 0.5).all() and (bad[:, None] > good[None, :]).mean() > 0.85
 
 
+def test_url_labels_hold_no_word_of_the_given_hosts(spark):
+    def words(hosts):
+        return {w for h in hosts for w in re.split("[.-]", h)} - {"www", "com", "net", "org"}
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("url is not null")
+    given = words({plain_url(r.url)[0] for r in pages.select("url").collect()})
+    assert "casino" in given and not given & words(u.split("/")[2] for u, _ in urls.SEED_URLS)
+
+
+def test_url_verdict_on_words_without_a_label():
+    """Each word is left out once, with all of its hosts. Measured: recall 0.206, precision 0.571."""
+    sides = [(v == "block", w, h) for v, g in (("block", urls.UNWANTED), ("allow", urls.ORDINARY)) for w, h in urls.labelled_hosts(g)]
+    words = sorted({(bad, w) for bad, w, _ in sides}, key=lambda x: hashlib.md5(x[1].encode()).digest())
+    counts = Counter()
+    for fold in range(5):
+        out = set(words[fold::5])
+        held = {h: bad for bad, w, h in sides if (bad, w) in out}
+        train = [(u.split("://")[1], v == "block") for u, v in urls.SEED_URLS if u.split("/")[2] not in held]
+        score = urls.fit(*map(list, zip(*train))).score(pa.array([h + "/" for h in held]))
+        counts.update(zip(held.values(), (score >= 0.5).tolist()))
+    recall = counts[True, True] / (counts[True, True] + counts[True, False])
+    precision = counts[True, True] / (counts[True, True] + counts[False, True])
+    print(f"recall {recall:.3f}, precision {precision:.3f}")
+    assert recall > 0.15 and precision > 0.5
+
+
 def test_url_labels_of_one_kind_are_refused():
     with pytest.raises(ValueError):
         urls.fit(["a.b/"], [True])
