@@ -5,10 +5,12 @@ overlapping per kind; matches that fail a kind's check are dropped.
 
 Bootstrapping: strings that look like identifiers are candidates, and the words before them
 are lexical patterns (the word before; the two words before). Candidates that a base span
-covers are the seeds. Over the graph of patterns and distinct candidates, rounds alternate:
-a pattern's confidence in a kind is the belief in its candidates summed over their number
-(plus one), a candidate's belief is the noisy-or of the confident patterns around it. A pattern
-counts once its confidence reaches ``CONFIDENCE`` with belief worth ``SUPPORT`` candidates.
+covers are the seeds, wherever else they occur. Over the graph of patterns and distinct
+candidates, rounds alternate: a pattern's confidence in a kind is the belief in its candidates
+summed over their number (plus one), a candidate's belief is the noisy-or of the confident
+patterns around it. A pattern counts once its confidence reaches ``CONFIDENCE`` with belief
+worth ``SUPPORT`` candidates. Candidates believed in one round count for all patterns they
+follow in the next, seeded or not, until no pattern is new and no confidence moves.
 Candidates of a plausible form that follow a confident pattern are spans too, unless they
 overlap a base span. Copies of a string count once, so repeated texts add no weight.
 
@@ -26,7 +28,7 @@ from lexivane.session import cut
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE = 0.8
 SUPPORT = 5.0
-ROUNDS = 3
+SETTLED = 1e-6  # a confidence that moves by less stands still
 CONTEXT_CHARS = 80  # how far before a candidate its context words may reach
 PATTERN_BYTES = 4 << 20  # bound of the confident patterns that are broadcast
 
@@ -152,49 +154,49 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return cut(rows.select("doc_id", "key", *KINDS, known.alias("candidates")))
 
 
-def learn_patterns(
-    scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT
-) -> DataFrame:
-    """(pattern, kind, confidence) of the confident lexical patterns."""
+def learn_patterns(scanned: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
+    """(pattern, kind, confidence) of the confident lexical patterns.
+
+    Beliefs are kept per candidate and kind and start from the seeds, so they and the set of
+    confident patterns only grow, and the rounds end.
+    """
     texts = scanned.filter(F.size("candidates") > 0).select("candidates")
     each = texts.select(F.explode("candidates").alias("c")).select(
         F.explode("c.patterns").alias("pattern"), F.lower("c.value").alias("instance"), F.col("c.kind").alias("seed")
     )
-    # one edge per pattern and distinct candidate; a string that was a seed anywhere is one here
+    # one edge per pattern and distinct candidate; a string that was a seed anywhere is one in all its contexts
     edges = cut(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    seeded = edges.filter("seed is not null").select("pattern").distinct()
-    edges = cut(edges.join(seeded, "pattern", "left_semi"))
-    believed = None
-    accepted = None
-    for _ in range(rounds):
-        known = edges
-        if believed is None:
-            known = known.select("pattern", "instance", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("belief"))
-        else:
-            known = known.join(believed, "instance", "left").select(
-                "pattern",
-                "instance",
-                F.coalesce("seed", "kind").alias("kind"),
-                F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("belief"),
-            )
-        worth = [F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(k) for k in KINDS]
-        scored = known.groupBy("pattern").agg(F.count("*").alias("n"), *worth)
-        best = F.greatest(*KINDS)
-        kind = F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            kind = F.when(F.col(k) == F.col("best"), k).otherwise(kind)
-        accepted = cut(
-            scored.withColumn("best", best)
-            .filter((F.col("best") >= support) & (F.col("best") >= confidence * (F.col("n") + 1)))
-            .select("pattern", kind.alias("kind"), (F.col("best") / (F.col("n") + 1)).alias("confidence"))
-        )
-        if accepted.isEmpty():
-            break
-        reached = edges.filter("seed is null").join(accepted, "pattern").filter(_plausible(F.col("kind"), F.col("instance")))
+    seeds = edges.filter("seed is not null").groupBy("instance").agg(F.max("seed").alias("seed"))
+    edges = cut(edges.drop("seed").join(seeds, "instance", "left"))
+
+    def confident(scored: DataFrame) -> DataFrame:
+        enough = (F.col("worth") >= support) & (F.col("worth") >= confidence * (F.col("n") + 1))
+        return cut(scored.filter(enough).select("pattern", "kind", (F.col("worth") / (F.col("n") + 1)).alias("confidence")))
+
+    def share(k: str) -> Column:
+        """Belief from the seeds alone, and the most there can be if all other candidates of the form are believed."""
+        seeded = F.coalesce(F.col("seed") == k, F.lit(False))
+        able = seeded | (F.col("seed").isNull() & F.coalesce(_plausible(F.lit(k), F.col("instance")), F.lit(False)))
+        return F.struct(F.lit(k).alias("kind"), F.count_if(seeded).cast("double").alias("worth"), F.count_if(able).alias("most"))
+
+    counts = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.array(*[share(k) for k in KINDS]).alias("kinds"))
+    able = (F.col("most") >= support) & (F.col("most") >= confidence * (F.col("n") + 1))
+    stats = cut(counts.select("pattern", "n", F.explode("kinds").alias("s")).select("pattern", "n", "s.*").filter(able).drop("most"))
+    accepted = confident(stats)
+    if accepted.isEmpty():
+        return accepted
+    open_edges = edges.filter("seed is null").join(stats.select("pattern", "kind"), "pattern")
+    open_edges = cut(open_edges.filter(_plausible(F.col("kind"), F.col("instance"))).select("pattern", "kind", "instance"))
+    while True:
         belief = 1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))
-        ranked = reached.groupBy("instance", "kind").agg(belief.alias("belief"))
-        believed = cut(ranked.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("b")).select("instance", "b.belief", "b.kind"))
-    return accepted
+        believed = open_edges.join(accepted, ["pattern", "kind"]).groupBy("instance", "kind").agg(belief.alias("belief"))
+        # back to all patterns, also those without a seed
+        more = open_edges.join(believed, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("more"))
+        scored = stats.join(more, ["pattern", "kind"], "left").withColumn("worth", F.col("worth") + F.coalesce("more", F.lit(0.0)))
+        last, accepted = accepted, confident(scored)
+        moved = accepted.join(last.withColumnRenamed("confidence", "last"), ["pattern", "kind"], "left")
+        if moved.filter(F.col("last").isNull() | (F.col("confidence") > F.col("last") + SETTLED)).isEmpty():
+            return accepted
 
 
 def _discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

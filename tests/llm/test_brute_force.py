@@ -357,6 +357,34 @@ def test_contexts_discover_identifiers(spark):
     assert hidden[0] == "please mobile: [PHONE] ok" and hidden[30] == "mobile: [PHONE] ok"
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    """mobile: is learned from base phones, ``me on`` from what follows mobile:, ``dial`` from that; ``lot`` is not."""
+    def number(i):
+        return f"0171-555-{i:04d}"
+
+    texts = [f"mobile: +1 (017) 555-{i:04d} ok" for i in range(300)] + [f"mobile: {number(i)} ok" for i in range(30)]
+    texts += [f"ring me on {number(i)} ok" for i in range(35)]
+    texts += [f"lot {number(i)} ok" for i in [*range(5), *range(200, 220)]]
+    texts += [f"dial {number(i)} ok" for i in [*range(27), *range(30, 35), 300]]
+    scanned = pii.scan(table(spark, texts))
+    learned = {(r.pattern, r.kind): r.confidence for r in pii.learn_patterns(scanned).collect()}
+    assert {p for p, _ in learned} == {"mobile:", "on", "me on", "dial"} and {k for _, k in learned} == {"phone"}
+    got = report(table(spark, texts))
+    for i, text in enumerate(texts):
+        assert (got[i].spans != "") == (not text.startswith("lot")), text
+    hidden = {r.doc_id: r.text for r in pii.redact(table(spark, texts)).collect()}
+    assert hidden[len(texts) - 1] == "dial [PHONE] ok"
+    # at the fixpoint a further round changes nothing
+    follows = {}
+    for text in texts:
+        for words, value in re.findall(r"((?:\S+ )+?)(\+1 \(017\) \S+|0171-\S+) ok", text):
+            for p in {" ".join(words.split()[-1:]), " ".join(words.split()[-2:])}:
+                follows.setdefault(p, set()).add(value)
+    for (p, _), c in learned.items():
+        worth = sum(1 if v[0] == "+" else 1 - math.prod(1 - learned[q, "phone"] for q in follows if v in follows[q] and (q, "phone") in learned) for v in follows[p])
+        assert abs(worth / (len(follows[p]) + 1) - c) < 1e-5
+
+
 def test_long_texts_stay_linear(spark):
     texts = ["a" * 200_000, "1" * 200_000, "a.b" * 60_000 + "@", "1.2" * 60_000, "+1" + " (" * 90_000, "a@" + "b." * 60_000]
     assert len(report(table(spark, texts))) == len(texts)
