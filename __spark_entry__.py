@@ -195,16 +195,21 @@ def knn_graph_scaled_blocks(spark, sf):
     return knn_graph(_scaled(spark, sf), **BLOCKS).withColumn("distance", _r("distance", 4))
 
 
+def knn_graph_lsh_rows(spark, sf):
+    """The neighbour table that ``knn_graph_lsh`` judges."""
+    return knn_graph_lsh(_vectors(spark, sf), bits=4).withColumn("distance", _r("distance"))
+
+
 def knn_graph_lsh_q(spark, sf):
-    """Per row the neighbours found and whether their distances are those of the vectors."""
+    """Per row whether the neighbours found are at the distances of the vectors, and as many as asked for."""
     v = _vectors(spark, sf)
     found = knn_graph_lsh(v, bits=4)
     ends = found.join(v.select("id", F.col("embedding").alias("a")), "id")
     ends = ends.join(v.select(F.col("id").alias("neighbor_id"), F.col("embedding").alias("b")), "neighbor_id")
     apart = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
     same = F.bool_and((F.abs(apart - F.col("distance")) < 1e-6) & (F.col("id") != F.col("neighbor_id")))
-    seen = ends.groupBy("id").agg(same.alias("exact"), (F.count("*") <= 15).alias("within_k"))
-    none = F.lit(True)
+    seen = ends.groupBy("id").agg(same.alias("exact"), (F.count("*") == 15).alias("within_k"))
+    none = F.lit(False)
     return v.select("id").join(seen, "id", "left").select("id", F.coalesce("exact", none).alias("exact"), F.coalesce("within_k", none).alias("within_k"))
 
 
@@ -669,6 +674,7 @@ _QUERIES = {
     "knn_graph_scaled": knn_graph_scaled,
     "knn_graph_scaled_blocks": knn_graph_scaled_blocks,
     "knn_graph_lsh": knn_graph_lsh_q,
+    "knn_graph_lsh_rows": knn_graph_lsh_rows,
     "standardize": standardize_q,
     "calinski_harabasz": calinski_harabasz,
     "silhouette_exact": silhouette_exact,

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,9 +101,9 @@ def knn_graph_lsh(
     block_bytes: int = B.BLOCK_BYTES,
     seed: int = 42,
 ) -> DataFrame:
-    """Like ``knn_graph``, among the rows that share a bucket with a row in some table.
+    """Like ``knn_graph``, among the rows that lie in the same or in adjoining buckets of some table.
 
-    Neighbours in no common bucket are missed, so a row may get other or fewer ones; all
+    Buckets adjoin if one plane parts them. Neighbours that never meet so are missed, so a row may get other or fewer ones; all
     distances are exact. A bucket is never cut short: one that outgrows a block is split
     into blocks, and all pairs of its blocks are worked off as separate groups. ``bits``
     planes make a bucket; by default as many as let buckets fill one block on average,
@@ -133,19 +133,27 @@ def knn_graph_lsh(
     counts = coded.groupBy("table", "bucket").agg(
         F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blocks")
     )
+    others = counts.select("table", F.col("bucket").alias("_other"), F.col("n_blocks").alias("_other_blocks"))
     # There are at most tables * 2^bits counts; many of them are joined, not broadcast.
     if tables * 2**bits <= MAX_BROADCAST_COUNTS:
-        counts = F.broadcast(counts)
-    placed = coded.join(counts, ["table", "bucket"]).withColumn(
-        "_block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    )
+        counts, others = F.broadcast(counts), F.broadcast(others)
+    near = F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(1 << i)) for i in range(bits)])
+    placed = coded.join(counts, ["table", "bucket"]).withColumn("_other", F.explode(near)).join(others, ["table", "_other"])
+
+    def cell(bucket: str, block) -> Column:
+        return F.shiftleft(F.col(bucket).cast("long"), 32) + block
+
+    own = F.pmod(F.xxhash64("id"), F.col("n_blocks").cast("long"))
+    blocks = F.sequence(F.lit(0), F.col("_other_blocks") - 1)
     paired = (
-        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumn("lo", F.least("_block", "_other"))
-        .withColumn("hi", F.greatest("_block", "_other"))
-        .select("id", "embedding", "table", "bucket", "_block", "lo", "hi")
+        placed.withColumn("_block", cell("bucket", own))
+        .withColumn("_at", F.explode(blocks))
+        .withColumn("_to", cell("_other", F.col("_at")))
+        .withColumn("lo", F.least("_block", "_to"))
+        .withColumn("hi", F.greatest("_block", "_to"))
+        .select("id", "embedding", "table", "_block", "lo", "hi")
     )
-    found = paired.groupBy("table", "bucket", "lo", "hi").applyInArrow(_block(k), _schema(rows))
+    found = paired.groupBy("table", "lo", "hi").applyInArrow(_block(k), _schema(rows))
     # The same pair may meet in several tables. Placed by id, both steps need one shuffle.
     once = found.repartition("id").groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
     return _ranked(once.unionByName(settled), k)

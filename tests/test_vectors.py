@@ -131,6 +131,19 @@ def test_knn_lsh_is_a_good_part_of_the_exact_graph(vectors, options):
     assert len(copies) == 250 * 5 and all(r.distance == 0 for r in copies)
 
 
+def test_knn_lsh_recall_of_the_registered_query(spark):
+    """Against the exact graph at k = 15, bits = 4, and no row without neighbours."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.id, r.neighbor_id) for r in entry.queries()["knn_graph"](spark, sf).collect()}
+    found = entry.queries()["knn_graph_lsh_rows"](spark, sf).collect()
+    assert {r.id for r in found} == {i for i, _ in exact} and {r.rank for r in found} == set(range(1, 16))
+    recall = len(exact & {(r.id, r.neighbor_id) for r in found}) / len(exact)
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.9
+
+
 def test_unequal_dimensions_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>")
     with pytest.raises(ValueError):
