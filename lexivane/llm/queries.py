@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import contain, jaccard, langid, packing, pii, quality, rules, suffix, tokens, urls
+from lexivane.llm import align, contain, jaccard, langid, packing, periods, pii, quality, rules, suffix, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_SIDE, PIECE_SIDE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [
     urls.Rule("allow", "com/"),
     urls.Rule("block", "example.com/en/"),
@@ -67,6 +68,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_SIDE), public_tokenizers.path(PIECE_SIDE))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_bestfit_packing": op9_bestfit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
