@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import align, contain, jaccard, langid, packing, periods, pii, quality, rules, suffix, tokens, urls
+from lexivane.llm import align, contain, jaccard, langid, mixing, packing, periods, pii, quality, rules, suffix, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_SIDE, PIECE_SIDE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_SIDE), public_tokenizers.path(PIECE_SIDE))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_bestfit_packing": op9_bestfit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
