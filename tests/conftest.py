@@ -28,7 +28,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

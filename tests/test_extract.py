@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import plan_of
+from planview import plan_of
 from lexivane.operators.extract import cap_rows, dedup_urls, extract_jsonld, extract_links, flatten_recipe
 
 J1 = (

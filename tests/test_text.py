@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from planview import plan_of
 from lexivane.functions.taxonomy import RECIPES, Taxonomy
 from lexivane.functions.text import DOCUMENT_TEMPLATE, QUERY_PREFIX, compose, filled, hash_percent
 from lexivane.operators import labels as L

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from planview import plan_of
 from lexivane.functions.vectors import vec_cosine, vec_dot, vec_norm, vec_sqdist
 from lexivane.operators.neighbors import collapse_copies, knn_graph, knn_graph_lsh
 from lexivane.operators.search import describe, response, search, search_batch
