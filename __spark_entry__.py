@@ -27,8 +27,11 @@ from lexivane.operators import quality as Q
 from lexivane.operators import search as S
 from lexivane.operators.autoencoder import AutoencoderModel, fit_autoencoder
 from lexivane.operators.categorize import categorize, category_string, keyword_categories, main_category
+from lexivane.operators.cells import build_cells, search_cells
 from lexivane.operators.classify import MultiLabelModel, fit_multilabel, hash_split, predict_multilabel
+from lexivane.operators.descent import knn_graph_descent
 from lexivane.operators.encode import BatchModel, HashedTfIdf, embed_text
+from lexivane.operators.estimate import silhouette_interval
 from lexivane.operators.graph import fuzzy_weights, reduce_graph, symmetrize
 from lexivane.operators.neighbors import knn_graph, knn_graph_lsh
 from lexivane.operators.reduce import plot_table, project_2d, reduce_pca
@@ -213,6 +216,27 @@ def knn_graph_lsh_q(spark, sf):
     return v.select("id").join(seen, "id", "left").select("id", F.coalesce("exact", none).alias("exact"), F.coalesce("within_k", none).alias("within_k"))
 
 
+def knn_graph_descent_q(spark, sf):
+    """Neighbour descent over the eight leading components; full-width test vectors have no structure."""
+    return knn_graph_descent(reduce_pca(_vectors(spark, sf), 8)).withColumn("distance", _r("distance"))
+
+
+def search_cells_q(spark, sf):
+    """The queries of ``search_batch`` through a stored index of cells."""
+    v, path = _vectors(spark, sf), scratch_path(spark, "cells")
+    build_cells(v, path)
+    found = search_cells(spark, path, v.select(F.col("id").alias("query_id"), "embedding"), S.TOP_K, MIN_SCORE).hits
+    return found.withColumn("similarity_score", _r("similarity_score"))
+
+
+def silhouette_interval_q(spark, sf):
+    """The estimate's rows, and whether its bounds hold the exact value."""
+    v = _vectors(spark, sf)
+    estimate, exact = silhouette_interval(v, per_label=30), Q.silhouette(v).select(F.col("silhouette").alias("exact"))
+    covers = F.col("exact").between(F.col("low"), F.col("high"))
+    return estimate.join(F.broadcast(exact), F.lit(True)).select("rows_drawn", "rows", covers.alias("covers"))
+
+
 def silhouette_blocks(spark, sf):
     return Q.silhouette(_vectors(spark, sf), **BLOCKS).select(_r("silhouette").alias("silhouette"))
 
@@ -258,9 +282,9 @@ def reconstruction_mse(spark, sf):
 
 
 def compare_spaces(spark, sf):
+    """Base vectors against their principal components, kept in full so that SQL can follow."""
     v = _vectors(spark, sf)
-    half = v.withColumn("embedding", F.slice("embedding", 1, 32))
-    out = Q.compare_spaces({"base": v, "half": half})
+    out = Q.compare_spaces({"base": v, "reduced": reduce_pca(v, 64)})
     return out.select("name", _r("silhouette").alias("silhouette"), _r("calinski").alias("calinski"))
 
 
@@ -462,10 +486,8 @@ def embed_text_model(spark, sf):
 
 
 def predict_multilabel_q(spark, sf):
-    """Prediction with given weights: class i looks at components i and i + 1."""
-    weights = np.zeros((3, 64))
-    for i in range(3):
-        weights[i, i : i + 2] = 1.0
+    """Prediction with given weights on all components."""
+    weights = (7.0 * np.arange(3)[:, None] + 3.0 * np.arange(64)) % 5 - 2
     model = MultiLabelModel(["a", "b", "c"], weights, np.array([0.0, -0.05, 0.05]))
     truth = F.array(*((F.col("label") % 3 == i).cast("int") for i in range(3)))
     return predict_multilabel(_vectors(spark, sf).withColumn("hot", truth), model)
@@ -646,7 +668,9 @@ def entry(spark: SparkSession) -> DataFrame:
 try:  # the training-data operators and their pipeline may be left out of an installation
     import corpus_pipeline
     from lexivane.llm import queries as _llm
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "lexivane.llm", "lexivane.llm.queries"):
+        raise  # there, but broken
     _extra: tuple[dict, dict] = ({}, {})
 else:
     _extra = ({**_llm.QUERIES, "pipeline": corpus_pipeline.run}, dict(_llm.ORACLE_SQL))
@@ -675,6 +699,9 @@ _QUERIES = {
     "knn_graph_scaled_blocks": knn_graph_scaled_blocks,
     "knn_graph_lsh": knn_graph_lsh_q,
     "knn_graph_lsh_rows": knn_graph_lsh_rows,
+    "knn_graph_descent": knn_graph_descent_q,
+    "search_cells": search_cells_q,
+    "silhouette_interval": silhouette_interval_q,
     "standardize": standardize_q,
     "calinski_harabasz": calinski_harabasz,
     "silhouette_exact": silhouette_exact,
@@ -854,6 +881,9 @@ def _own_sql() -> dict[str, str]:
             SELECT rn::INTEGER AS rank, id, name AS title, url AS recipe_url, ingredients,
                    round(sim, 6) AS similarity_score FROM top JOIN meta USING (id) WHERE rn <= 10""",
         "search_batch": batch,
+        "search_cells": batch,
+        "silhouette_interval": """SELECT (SELECT sum(least(n, 30)) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))::BIGINT AS rows_drawn,
+            count(*) AS rows, TRUE AS covers FROM embeddings""",
         "search_batch_blocks": batch,
         "search_batch_described": f"""{_BATCH}, meta AS ({_RECIPES_SQL})
             SELECT query_id, rn::INTEGER AS rank, id, name AS title, url AS recipe_url, ingredients,
@@ -876,7 +906,9 @@ def _own_sql() -> dict[str, str]:
             SELECT list_distance(e, list_transform(e, lambda x: round(x, 1))) AS d FROM ({_V}))""",
         "compare_spaces": _space("base", _V)
         + " UNION ALL "
-        + _space("half", "SELECT vec_id AS id, list_slice(embedding::DOUBLE[], 1, 32) AS e, label FROM embeddings"),
+        + _space("reduced", f"""SELECT id, list((x - m) / s ORDER BY pos) AS e, label FROM
+            (SELECT id, label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM ({_V})) JOIN (SELECT pos, avg(x) AS m, stddev_pop(x) AS s
+            FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM ({_V})) GROUP BY pos) USING (pos) GROUP BY id, label"""),
         "hash_split": f"""SELECT doc_id, CASE WHEN {_PERCENT.format('doc_id')} < 20 THEN 'test' ELSE 'train' END AS part
             FROM documents""",
         "compose_document": f"""SELECT id, md5('receita de ' || name || '. ingredientes: ' || ingredients ||
@@ -929,7 +961,8 @@ def _own_sql() -> dict[str, str]:
             length(text) - length(replace(text, 'a', '')) AS n_a FROM documents""",
         "predict_multilabel": f"""WITH v AS ({_V}),
             k AS (SELECT * FROM (VALUES (0, 'a', 0.0), (1, 'b', -0.05), (2, 'c', 0.05)) AS t(i, c, b))
-            SELECT id, c AS label, (v.label % 3 = i)::INTEGER AS truth, (e[i + 1] + e[i + 2] + b > 0)::INTEGER AS pred
+            SELECT id, c AS label, (v.label % 3 = i)::INTEGER AS truth,
+                (list_dot_product(e, list_transform(range(64), lambda j: ((7 * i + 3 * j) % 5 - 2)::DOUBLE)) + b > 0)::INTEGER AS pred
             FROM v, k""",
         "fit_multilabel": f"""WITH t AS (SELECT label FROM embeddings WHERE {_PERCENT.format('vec_id')} >= 20),
             c AS (SELECT unnest(['label ' || label, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END]) AS c FROM t),
