@@ -9,8 +9,9 @@ its largest item: of ``n`` shingles a document with enough containment lacks at
 least ``slack + 2`` (all, if the item has fewer). Documents with too few shingles skip the partitions that cannot
 fit. Candidates are thus complete; each is verified by its exact shingle containment.
 
-Only the items travel: in blocks of a bounded size, each broadcast in turn, so neither the
-items nor a popular passage cause a shuffle of the documents.
+Only the items travel: their distinct texts in blocks of a bounded size, each broadcast in turn,
+so neither the items nor a popular passage cause a shuffle of the documents. The ids of equal
+items are joined to the hits.
 
 NULL and empty texts and items match nothing. An item of fewer than five words is one shingle
 and matches only a document of just these words. Equal items are hit alike; repeated rows of
@@ -92,14 +93,14 @@ class ItemIndex:
 _HITS = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("shared", T.LongType())]))
 
 
-def _item_blocks(items: DataFrame, text_col: str, block_bytes: int):
-    """The items in parts whose text is about ``block_bytes``, each collected in turn."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = items.select(F.sum(F.octet_length(text))).first()[0] or 0
+def _item_blocks(items: DataFrame, block_bytes: int):
+    """Distinct texts of the items in parts of about ``block_bytes``, each collected in turn."""
+    texts = items.select("key", "t").dropDuplicates(["key"])
+    total = texts.select(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
-    part = F.pmod(F.xxhash64(text), F.lit(parts)) if parts > 1 else F.lit(0)
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)) if parts > 1 else F.lit(0)
     for i in range(parts):
-        yield items.filter(part == i)
+        yield texts.filter(part == i)
 
 
 def _hits(text: str | Column, index) -> Column:
@@ -111,14 +112,20 @@ def _hits(text: str | Column, index) -> Column:
     return searched(text)
 
 
-def _indexes(items: DataFrame, id_col: str, text_col: str, threshold: float, block_bytes: int):
-    """(ids, broadcast index) of each block of items."""
+def _keyed(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item_id, key, t)``: items with the digest of their text; copies share one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return items.select(F.col(id_col).alias("item_id"), F.unhex(F.md5(text)).alias("key"), text.alias("t"))
+
+
+def _indexes(items: DataFrame, threshold: float, block_bytes: int):
+    """(digests, sizes, broadcast index) of each block of distinct texts."""
     sc = items.sparkSession.sparkContext
-    for part in _item_blocks(items, text_col, block_bytes):
-        table = part.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toArrow()
+    for part in _item_blocks(items, block_bytes):
+        table = part.toArrow()
         sets = [s for b in blocks(table["t"]) for s in shingles(b, WORDS)]
         if any(len(s) for s in sets):
-            yield table["i"].to_pylist(), [len(s) for s in sets], sc.broadcast(ItemIndex(sets, threshold))
+            yield table["key"].to_pylist(), [len(s) for s in sets], sc.broadcast(ItemIndex(sets, threshold))
 
 
 def find_contained(
@@ -133,23 +140,24 @@ def find_contained(
 ) -> DataFrame:
     """One row per document and item that it contains: ids, shared and own shingles of the item."""
     spark = docs.sparkSession
-    id_type, item_type = docs.schema[id_col].dataType, items.schema[item_id_col].dataType
-    out = T.StructType(
+    kind = docs.schema[id_col].dataType
+    keyed = _keyed(items, item_id_col, item_text_col)
+    found = T.StructType(
         [
-            T.StructField("doc_id", id_type),
-            T.StructField("item_id", item_type),
+            T.StructField("doc_id", kind),
+            T.StructField("key", T.BinaryType()),
             T.StructField("n_shared", T.LongType()),
             T.StructField("n_item", T.LongType()),
         ]
     )
-    result = spark.createDataFrame([], out)
-    named = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", item_type), T.StructField("n_item", T.LongType())])
-    for ids, sizes, index in _indexes(items, item_id_col, item_text_col, threshold, block_bytes):
+    hits = spark.createDataFrame([], found)
+    named = T.StructType([T.StructField("item", T.IntegerType()), *found.fields[1:2], *found.fields[3:]])
+    for keys, sizes, index in _indexes(keyed, threshold, block_bytes):
         hit = docs.select(F.col(id_col).alias("doc_id"), F.explode(_hits(F.col(text_col).cast("string"), index)).alias("h"))
-        names = spark.createDataFrame([(i, x, n) for i, (x, n) in enumerate(zip(ids, sizes))], named)
+        names = spark.createDataFrame([(i, bytearray(x), n) for i, (x, n) in enumerate(zip(keys, sizes))], named)
         rows = hit.select("doc_id", "h.*").join(F.broadcast(names), "item")
-        result = result.unionByName(rows.select("doc_id", "item_id", F.col("shared").alias("n_shared"), "n_item"))
-    return result
+        hits = hits.unionByName(rows.select("doc_id", "key", F.col("shared").alias("n_shared"), "n_item"))
+    return hits.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def decontaminate(
@@ -162,6 +170,6 @@ def decontaminate(
     block_bytes: int = ITEM_BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
-    for _, _, index in _indexes(items, item_id_col, item_text_col, threshold, block_bytes):
+    for _, _, index in _indexes(_keyed(items, item_id_col, item_text_col), threshold, block_bytes):
         docs = docs.filter(F.size(_hits(F.col(text_col).cast("string"), index)) == 0)
     return docs

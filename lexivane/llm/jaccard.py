@@ -3,12 +3,14 @@
 Two texts are linked if the Jaccard similarity of their distinct five-word shingles (ASCII
 letters folded, words between white space) is at least 0.8.
 
-1. Copies of one text form a class with the text's digest as key; only classes are compared.
+1. Copies of one text form a class with the text's digest as key; they become one row before
+   anything is dealt by band or key, and only classes are compared.
 2. Each text's MinHash values are cut into bands. Classes that share a band's value are joined
    to its least key (a star, not pairs); the components of these stars hold every candidate.
 3. Members of a component meet in one task, or, in blocks of a bounded size, each pair of blocks
-   in a task of its own. A component so loose that its buckets are cheaper than all its pairs
-   goes by bucket, where a pair counts only in the first band that it shares.
+   in a task of its own; pairs with a common band are compared. A component so loose that its
+   buckets are cheaper than all its pairs goes by bucket, where a pair counts only in the first
+   band that it shares: the same pairs, counted once.
 4. In a task the MinHash values of a pair are compared in growing prefixes. With a uniform
    prior the similarity given m matches of h has a Beta posterior; a pair is dropped once
    P(similarity >= threshold) < ``TOLERANCE``. What is left is verified by exact intersection.
@@ -41,6 +43,7 @@ BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with a chance of (1 - 0.8**4
 STEPS = (16, 32, 64, BANDS * ROWS)  # MinHash values compared so far
 TOLERANCE = 1e-9
 BLOCK = 512  # members of a component that one side of a task holds
+BLOCK_BYTES = 32 * 1024 * 1024  # and bytes of their texts, on average
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,10 +136,12 @@ class _Members:
             alive = right[i + 1 :] if same else right
             n, m = self.sizes[x], self.sizes[alive]
             alive = alive[np.minimum(n, m) >= self.threshold * np.maximum(n, m) - 1e-9]
-            if band is not None and len(alive):
+            if len(alive):  # pairs without a common band are none of the candidates, in a unit of any size
                 equal = self.bands[alive] == self.bands[x]
-                first = self.bands[x][np.argmax(equal, axis=1)]
-                alive = alive[equal.any(axis=1) & (first == band)]
+                met = equal.any(axis=1)
+                if band is not None:
+                    met &= self.bands[x][np.argmax(equal, axis=1)] == band
+                alive = alive[met]
             done, matches = 0, np.zeros(len(alive), np.int64)
             for h, fewest in zip(STEPS, least):
                 if not len(alive):
@@ -222,16 +227,17 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _units(bands: DataFrame, member: DataFrame, block: int) -> DataFrame:
-    """(unit, key, m, band) of what meets: whole components, or buckets of loose large ones."""
-    sizes = member.groupBy("comp").agg(F.count("*").alias("m"))
+    """(unit, key, m, bytes, band) of what meets: whole components, or buckets of loose large
+    ones. Either way the pairs with a common band are compared."""
+    sizes = member.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
     whole = member.join(sizes, "comp").select(
-        F.xxhash64("comp").alias("unit"), "key", "m", F.lit(None).cast("long").alias("band"), "comp"
+        F.xxhash64("comp").alias("unit"), "key", "m", "bytes", F.lit(None).cast("long").alias("band"), "comp"
     )
-    large = sizes.filter(F.col("m") > block)
+    large = sizes.filter(F.col("m") > block).select("comp", "m")
     if large.isEmpty():
         return whole
-    pairs = cut(bands.join(member.join(large, "comp"), "key").select("comp", "m", "band", "key").distinct())
-    buckets = pairs.groupBy("comp", "band").agg(F.count("*").alias("s"), F.first("m").alias("m"))
+    pairs = cut(bands.join(member.join(large, "comp"), "key").select("comp", "m", "band", "key", "size").distinct())
+    buckets = pairs.groupBy("comp", "band").agg(F.count("*").alias("s"), F.first("m").alias("m"), F.sum("size").alias("bytes"))
     cost = buckets.groupBy("comp").agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("cost"), F.first("m").alias("m"))
     loose = cut(cost.filter(F.col("cost") < F.col("m").cast("double") * F.col("m")).select("comp"))
     if loose.isEmpty():
@@ -239,8 +245,8 @@ def _units(bands: DataFrame, member: DataFrame, block: int) -> DataFrame:
     apart = (
         pairs.select("comp", "band", "key")
         .join(loose, "comp")
-        .join(buckets.filter("s > 1").select("comp", "band", "s"), ["comp", "band"])
-        .select(F.xxhash64("comp", "band").alias("unit"), "key", F.col("s").alias("m"), "band", "comp")
+        .join(buckets.filter("s > 1").select("comp", "band", "s", "bytes"), ["comp", "band"])
+        .select(F.xxhash64("comp", "band").alias("unit"), "key", F.col("s").alias("m"), "bytes", "band", "comp")
     )
     return whole.join(loose, "comp", "left_anti").select(apart.columns).unionByName(apart)
 
@@ -249,30 +255,38 @@ def _links(df: DataFrame, threshold: float, id_col: str, text_col: str, block: i
     """((key, n_links), (node, root)) of all linked classes."""
     spark = df.sparkSession
     texts = _keyed(df, id_col, text_col)
-    path = scratch_path(spark, "bands")
-    texts.select("key", F.explode(_bands("text")).alias("band")).write.parquet(path)
-    bands = spark.read.parquet(path)
+    each, path = scratch_path(spark, "banded"), scratch_path(spark, "bands")
+    texts.select("key", _bands("text").alias("bands"), F.octet_length("text").cast("long").alias("size")).write.parquet(each)
+    # one row per text: its copies shrink map-side before anything is dealt by key or band
+    once = spark.read.parquet(each).groupBy("key").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    once.write.parquet(path)
+    drop_scratch(spark, each)
+    known = spark.read.parquet(path)
+    bands = known.select("key", F.explode("bands").alias("band"))
     stars = bands.groupBy("band").agg(F.min("key").alias("b"), F.max("key").alias("z")).filter("b <> z").select("band", "b")
     edges = bands.join(stars, "band").select(F.col("key").alias("a"), "b")
-    member = connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("comp"))
-    units = _units(bands, member, block)
-
-    parts = F.ceil(F.col("m") / block).cast("int")
-    units = units.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), parts).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), parts - 1))
+    roots = connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("comp"))
+    member = cut(roots.join(known.select("key", "size", "copies"), "key"))
+    units = _units(bands, member.drop("copies"), block)
+
+    # a block has at most so many members and, on average, bytes
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    units = units.withColumn("parts", F.least(parts, F.col("m").cast("int")))
+    units = units.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
     units = units.select(
-        "unit", "band", "key", "block", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "m"
+        "unit", "band", "key", "block", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "parts"
     )
     # small units share a group, large ones have one for each pair of blocks
-    groups = max(1, member.count() // (block // 4))
-    small = F.col("m") <= block
+    count, n_bytes = member.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    groups = max(1, count // (block // 4), n_bytes // (BLOCK_BYTES // 4))
+    small = F.col("parts") == 1
     units = units.withColumn(
         "group", F.when(small, F.pmod("unit", F.lit(groups))).otherwise(F.xxhash64("unit", "pi", "pj"))
     ).withColumn("small", small)
-    reps = (
-        texts.join(member.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    )
+    reps = texts.join(member.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    reps = reps.join(member.select("key", "copies"), "key")
     ready = units.join(reps, "key").select("small", "group", "unit", "band", "block", "pi", "pj", "key", "copies", "text")
     found = cut(ready.groupBy("small", "group").applyInArrow(_verifier(threshold), _FOUND))
     drop_scratch(spark, path)

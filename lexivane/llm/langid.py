@@ -2,8 +2,9 @@
 
 Features are TF-IDF weights of hashed character n-grams (one to three code points, ASCII
 letters folded), each text of length 1. Document frequencies are counted over all rows that
-may be learned from. The weights are fitted on a bounded sample of them by
-follow-the-regularised-leader with elastic-net penalties, which sets most weights to zero; a
+may be learned from. The weights are fitted on a bounded sample of them, with the same quota for
+every language, so that rare ones stay learnable at any size (of more languages than the sample
+has rows, those whose first text has the least hash), by follow-the-regularised-leader with elastic-net penalties, which sets most weights to zero; a
 temperature is then fitted on rows of the sample that the weights have not seen.
 
 The prediction of a text that is NULL or has no letter is ``und`` with score 0, and so is
@@ -138,8 +139,8 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[int, np.ndarray]
     return int(total[-1]), total[:-1]
 
 
-def _sample(df: DataFrame, n: int, text_col: str, lang_col: str, rows: int, values: int) -> tuple[list, list[str]]:
-    """Features and language of distinct texts, those with the least hashes, of ``n`` rows."""
+def _sample(df: DataFrame, text_col: str, lang_col: str, rows: int, values: int) -> tuple[list, list[str]]:
+    """Features and language of distinct texts, those of each language with the least hashes."""
     features = T.StructType(
         [T.StructField("b", T.ArrayType(T.IntegerType())), T.StructField("t", T.ArrayType(T.IntegerType()))]
     )
@@ -153,14 +154,19 @@ def _sample(df: DataFrame, n: int, text_col: str, lang_col: str, rows: int, valu
 
     text = F.col(text_col).cast("string")
     some = df.select(text.alias("x"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text, F.lit(5)).alias("o"))
-    share = min(1.0, (2 * rows + 100) / max(1, n))  # a range of hashes that holds enough rows
-    some = some.filter(F.col("o") <= int(-(1 << 63) + share * ((1 << 64) - 1025))).dropDuplicates(["o", "l"])
-    some = some.orderBy("o", "l").limit(rows).select("l", "o", counted("x").alias("f"))
+    # every language has the same quota, so none vanishes among many rows of others
+    by_lang = some.groupBy("l").agg(F.count("*").alias("n"))
+    quota = max(1, rows // max(1, by_lang.count()))
+    share = F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("n"))  # a range of hashes that holds enough rows
+    some = some.join(by_lang, "l").filter(F.col("o") <= (share * float((1 << 64) - 4096) - float(1 << 63)).cast("long"))
+    some = some.select("x", "l", "o").dropDuplicates(["o", "l"])
+    some = some.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("o"))).filter(F.col("r") <= quota)
+    some = some.orderBy("r", "o", "l").limit(rows).select("l", "o", "r", counted("x").alias("f"))
     # the bound on values holds before anything is collected; the first text is always taken
     size = F.size("f.b")
-    some = some.withColumn("used", F.sum(size).over(W.orderBy("o", "l"))).filter((F.col("used") <= values) | (F.col("used") == size))
+    some = some.withColumn("used", F.sum(size).over(W.orderBy("r", "o", "l"))).filter((F.col("used") <= values) | (F.col("used") == size))
     kept, langs = [], []
-    for batch in some.orderBy("o", "l").toArrow().to_batches():
+    for batch in some.orderBy("r", "o", "l").toArrow().to_batches():
         for lang, f in zip(batch["l"].to_pylist(), batch["f"]):
             kept.append((f["b"].values.to_numpy(zero_copy_only=False).astype(np.int64), f["t"].values.to_numpy(zero_copy_only=False)))
             langs.append(lang)
@@ -173,7 +179,7 @@ def train(
     """From rows with text and language; None if there are none."""
     usable = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     n, frequency = document_frequencies(usable, text_col)
-    found, langs = _sample(usable, n, text_col, lang_col, rows, values)
+    found, langs = _sample(usable, text_col, lang_col, rows, values)
     if not found:
         return None
     languages = sorted(set(langs))

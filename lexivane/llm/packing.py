@@ -1,14 +1,17 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Texts are counted in tokens, cut into pieces of at most the largest permitted length, and the
-pieces of a task are packed longest first. A piece goes into the open bin that it fills best.
+pieces of a group are packed longest first. A piece goes into the open bin that it fills best.
 If none has room, a bin opens whose length has the least cost per token that it can expect to
 hold: the piece itself plus what shorter, still unpacked pieces can add. In the end each bin
 shrinks to the least permitted length that holds its contents.
 
-Packing is one map: bins never span tasks, a task packs at most ``GROUP`` pieces at a time and
-holds ids and lengths only, and the bin's name is made of the partition and a counter, so a
-repeated task gives the same bins. No key is shuffled, so no source or group can be hot.
+Counting is one map, and its result (id, digest, tokens) is written. Rows are then dealt by a
+hash of id and text to as many groups as the corpus has ``GROUP_TOKENS`` tokens, so bins depend
+neither on the layout of the files nor on how many there are, and each group's share of part-filled
+bins is small. A task holds ids and lengths of one group; a bin is named after its group and a
+counter. Rows that repeat id and text share a group; beyond ``HELD`` rows, which only such rows can
+fill, a group is packed in several runs.
 
 NULL and empty texts have no tokens: one row with piece 0, length 0 and no bin. Repeated rows
 and NULL ids are packed like all others. An empty table gives no rows. A NULL in any other
@@ -22,19 +25,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivane.llm.tokens import merger
+from lexivane.llm.tokens import n_tokens
+from lexivane.session import scratch_path
 
 LENGTHS = (512, 1024, 2048, 4096)
 # A sequence of n tokens costs n + OVERHEAD + n * n / ATTENTION: its padding is paid for, few
 # tokens make its fixed share dear, many its attention.
 OVERHEAD = 64
 ATTENTION = 65536
-GROUP = 200_000  # pieces packed together
+GROUP_TOKENS = 64_000_000  # of the rows packed together, on average
+HELD = 4_000_000  # rows that a task holds
 
 
 def cut_pieces(tokens: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +99,7 @@ def pack_documents(
     permitted: Sequence[int] = LENGTHS,
     overhead: int = OVERHEAD,
     attention: int = ATTENTION,
+    group_tokens: int = GROUP_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -103,15 +108,21 @@ def pack_documents(
     lengths = tuple(sorted(set(permitted)))
     if not lengths or lengths[0] < 1:
         raise ValueError("permitted lengths must be positive")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    counted = scratch_path(df.sparkSession, "counted")
+    df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), n_tokens(text, tokenizer).alias("n")).write.parquet(counted)
+    rows = df.sparkSession.read.parquet(counted)
+    groups = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // group_tokens))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)))
+    ordered = dealt.repartition("g").sortWithinPartitions("g", "doc_id", "h").select("g", "doc_id", "n")
     out = T.StructType(
         [rows.schema["doc_id"]]
         + [T.StructField("piece", T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in ("first_token", "n_tokens", "bin_id", "bin_offset", "bin_length")]
     )
 
-    def packed(ids: list[pa.Array], counts: list[int], partition: int, bins: int) -> tuple[pa.RecordBatch, int]:
-        row, number, size = cut_pieces(np.array(counts, np.int64), lengths[-1])
+    def packed(ids: list[pa.Array], counts: list[np.ndarray], group: int, bins: int) -> tuple[pa.RecordBatch, int]:
+        row, number, size = cut_pieces(np.concatenate(counts), lengths[-1])
         bin_of, offset, final = pack(size, lengths, overhead, attention)
         none = bin_of < 0
         columns = [
@@ -119,27 +130,33 @@ def pack_documents(
             pa.array(number, pa.int32()),
             pa.array(number * lengths[-1], pa.int64()),
             pa.array(size, pa.int64()),
-            pa.array(bin_of + bins + (partition << 32), pa.int64(), mask=none),
+            pa.array(bin_of + bins + (group << 32), pa.int64(), mask=none),
             pa.array(offset, pa.int64(), mask=none),
             pa.array(final, pa.int64(), mask=none),
         ]
         return pa.RecordBatch.from_arrays(columns, names=out.names), bins + int(bin_of.max(initial=-1)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, bins = TaskContext.get().partitionId(), 0
+        group, bins, held = -1, 0, 0
         ids: list[pa.Array] = []
-        counts: list[int] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
-            ids.append(batch.column(0))
-            counts += merger(tokenizer).counts(batch.column(1).to_pylist())
-            if len(counts) >= GROUP:
-                result, bins = packed(ids, counts, partition, bins)
-                yield result
-                ids, counts = [], []
-        if counts:
-            yield packed(ids, counts, partition, bins)[0]
-
-    return rows.mapInArrow(run, out)
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else []
+            for lo, hi in zip(edges, np.append(edges, len(numbers))[1:].tolist()):
+                if numbers[lo] != group or held >= HELD:
+                    if held:
+                        result, bins = packed(ids, counts, group, bins)
+                        yield result
+                    bins = bins if numbers[lo] == group else 0
+                    group, held, ids, counts = int(numbers[lo]), 0, [], []
+                ids.append(batch.column(1).slice(lo, hi - lo))
+                counts.append(batch.column(2).to_numpy(zero_copy_only=False)[lo:hi])
+                held += hi - lo
+        if held:
+            yield packed(ids, counts, group, bins)[0]
+
+    return ordered.mapInArrow(run, out)
 
 
 def summarise(pieces: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.functions.binding import let
 from lexivane.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE = 0.8
 SUPPORT = 5.0
 SETTLED = 1e-6  # a confidence that moves by less stands still
-CONTEXT_CHARS = 80  # how far before a candidate its context words may reach
+BLOCK = 128  # matches of a text worked off together, so that very many take no quadratic time
 PATTERN_BYTES = 4 << 20  # bound of the confident patterns that are broadcast
 
 # Starts are pinned and repeats possessive, so that no text makes matching slower than linear;
@@ -56,21 +57,25 @@ _CANDIDATE = (
     r"|[A-Za-z]{1,4}+[0-9][0-9A-Za-z]{4,}+)"
 )
 _CANDIDATE_GUARD = r"@|[0-9][^A-Za-z\n]{0,12}[0-9][^A-Za-z\n]{0,12}[0-9]"
+_ALL = 2**31 - 1  # code points: as many as a text can have
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _CANDIDATES = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
 def _matches(text: Column, pattern: str, context: bool = False) -> Column:
-    """Spans (code points, end exclusive) of the matches; with the text before each if asked.
+    """Spans (code points, end exclusive) of the matches; with the words before each if asked.
 
-    Splitting and extracting by the same pattern alternate: gap, match, gap, ..., gap.
+    Splitting and extracting by the same pattern alternate: gap, match, gap, ..., gap. The
+    places of very many matches are found block by block from the blocks' lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    kind = _CANDIDATES if context else _SPAN
 
     def piece(gap: Column, value: Column) -> Column:
         fields = [F.length(gap).alias("gap"), value.alias("value")]
         if context:
-            fields.append(F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"))
+            words = F.rtrim(F.regexp_replace(gap, r"\s+", " "))
+            fields.append(F.substring_index(words, " ", -2).alias("before"))
         return F.struct(*fields)
 
     def step(done: Column, x: Column) -> Column:
@@ -82,9 +87,26 @@ def _matches(text: Column, pattern: str, context: bool = False) -> Column:
         more = F.struct(end.alias("at"), F.concat(done["found"], F.array(F.struct(*fields))).alias("found"))
         return F.when(x["value"].isNull(), done).otherwise(more)
 
-    empty = F.array().cast(_CANDIDATES if context else _SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(F.zip_with(F.split(text, pattern, -1), found, piece), start, step, lambda done: done["found"])
+    def placed(some: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(kind).alias("found"))
+        return F.aggregate(some, start, step, lambda done: done["found"])
+
+    def by_block(some: Column) -> Column:
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        begins = lambda lengths: F.aggregate(
+            lengths, start, lambda t, n: F.struct((t["at"] + n).alias("at"), F.concat(t["list"], F.array(t["at"])).alias("list")), lambda t: t["list"]
+        )
+        return let(_in_blocks(some), lambda bs: F.flatten(F.zip_with(bs, begins(F.transform(bs, length)), placed)))
+
+    pieces = F.zip_with(F.split(text, pattern, -1), found, piece)
+    return let(pieces, lambda p: F.when(F.size(p) <= BLOCK, placed(p, F.lit(0))).otherwise(by_block(p)))
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array in slices of ``BLOCK`` items; of one empty slice if it is empty."""
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _digits(value: Column) -> Column:
@@ -269,13 +291,33 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         key_cols = [name, name + "x", key]
 
     def step(done: Column, s: Column) -> Column:
-        gap = F.substr(text, done["at"] + 1, s["start"] - done["at"])
-        longer = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        more = F.struct(s["end"].alias("at"), F.concat(done["out"], gap, s["mark"]).alias("out"))
-        return F.when(s["start"] < done["at"], longer).otherwise(more)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        F.array_sort(F.col(name)), start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
-    )
-    return marked.withColumn(text_col, F.when(F.size(name) > 0, masked).otherwise(text)).drop(*key_cols)
+        gap = F.substr(done["rest"], F.lit(1), s["start"] - done["at"])
+        longer = F.greatest(done["at"], s["end"])
+        covered = F.struct(longer.alias("at"), F.substr(done["rest"], longer - done["at"] + 1, F.lit(_ALL)).alias("rest"), done["out"].alias("out"))
+        rest = F.substr(done["rest"], s["end"] - done["at"] + 1, F.lit(_ALL))
+        more = F.struct(s["end"].alias("at"), rest.alias("rest"), F.concat(done["out"], gap, s["mark"]).alias("out"))
+        return F.when(s["start"] < done["at"], covered).otherwise(more)
+
+    def masked(block: Column, at: Column) -> Column:
+        """What becomes of the text from ``at`` to the end of the block's last span."""
+        to = F.aggregate(block, at, lambda m, s: F.greatest(m, s["end"]))
+        start = F.struct(at.alias("at"), F.substr(text, at + 1, to - at).alias("rest"), F.lit("").alias("out"))
+        return F.aggregate(block, start, step, lambda done: done["out"])
+
+    def reach(blocks: Column) -> Column:
+        """How far the spans of the blocks before reach, for each block and at the end."""
+        start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("list"))
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda m, s: F.greatest(m, s["end"])))
+
+        def further(t: Column, e: Column) -> Column:
+            at = F.greatest(t["at"], e)
+            return F.struct(at.alias("at"), F.concat(t["list"], F.array(at)).alias("list"))
+
+        return F.aggregate(ends, start, further, lambda t: t["list"])
+
+    def whole(blocks: Column, at: Column) -> Column:
+        pieces = F.zip_with(blocks, F.slice(at, F.lit(1), F.size(blocks)), masked)
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(at, -1) + 1, F.lit(_ALL)))
+
+    replaced = let(_in_blocks(F.array_sort(F.col(name))), lambda bs: let(reach(bs), lambda at: whole(bs, at)))
+    return marked.withColumn(text_col, F.when(F.size(name) > 0, replaced).otherwise(text)).drop(*key_cols)
