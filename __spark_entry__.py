@@ -39,7 +39,7 @@ from lexivane.operators.scaling import add_noise, standardize
 from lexivane.plans.engine import CorpusEngine, metric_bars, run_analysis
 from lexivane.plans.evaluate import compare_methods, evaluate_vectors, reduction_methods
 from lexivane.schemas import RECIPE
-from lexivane.session import scratch_path, ship_package
+from lexivane.session import cut, scratch_path, ship_package
 from lexivane.sources.metrics import read_metrics, write_metrics
 from lexivane.sources.pages import read_pages
 from lexivane.sources.recipes import read_recipes, write_recipes
@@ -106,8 +106,9 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("id", "embedding", cats.alias("categories"))
 
 
-def _recipe_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages with an embedded record of each document, among scripts to be passed over."""
+def _recipe_pages(spark: SparkSession, sf: str, listed: bool = False) -> DataFrame:
+    """Web pages with an embedded record of each document, among scripts to be passed over;
+    ``listed``: in the middle of a list."""
     lines = F.split("text", "\n")
     record = F.struct(
         F.lit("Recipe").alias("@type"),
@@ -122,6 +123,8 @@ def _recipe_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(lines, lambda line: F.struct(line.alias("text"))).alias("recipeInstructions"),
     )
     body = F.replace(F.to_json(record), F.lit("<"), F.lit("\\u003c"))
+    if listed:
+        body = F.concat(F.lit('[{"@type":"WebSite"},'), body, F.lit(',{"@type":"Recipe","name":"next"}]'))
     script = '<script type="application/ld+json">'
     html = F.concat(
         F.lit(f'<html><!-- {script}{{"@type":"Recipe"}}</script> -->{script}{{"@type":"WebSite"}}</script>'),
@@ -373,7 +376,15 @@ def cap_rows(spark, sf):
 
 
 def extract_jsonld(spark, sf):
-    found = X.extract_jsonld(_recipe_pages(spark, sf))
+    return _about(X.extract_jsonld(_recipe_pages(spark, sf)))
+
+
+def extract_jsonld_lists(spark, sf):
+    """Records inside list scripts."""
+    return _about(X.extract_jsonld(_recipe_pages(spark, sf, listed=True), if_array=True))
+
+
+def _about(found):
     return found.select(
         "page_id",
         "url",
@@ -405,8 +416,7 @@ def rescale_metric(spark, sf):
     return metric_bars(_group_metrics(spark, sf)).withColumn("Score", _r("Score"))
 
 
-def csv_roundtrip(spark, sf):
-    """Overwrite with one half of the documents, append the other, read back."""
+def _csv_rows(spark, sf):
     docs = _recipes(spark, sf).join(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"), "id")
     rows = docs.select(
         *(F.col(c) for c in ("name", "url", "ingredients", "instructions")),
@@ -420,14 +430,34 @@ def csv_roundtrip(spark, sf):
         ),
         (F.col("id") % 2).alias("_half"),
     )
-    path = scratch_path(spark, "recipes-csv")
-    write_recipes(rows.filter("_half = 0"), path, "csv", "overwrite")
-    write_recipes(rows.filter("_half = 1"), path, "csv", "append")
-    back = read_recipes(spark, path, "csv")
+    return rows
+
+
+def _csv_digest(back):
     return back.select("name", "url", "author", "description", "rating_value", "rating_count", "ingredients",
                        F.md5("instructions").alias("instructions_md5"))
 
 
+def csv_roundtrip(spark, sf):
+    """Overwrite with one half of the documents, append the other, read back."""
+    rows, path = _csv_rows(spark, sf), scratch_path(spark, "recipes-csv")
+    write_recipes(rows.filter("_half = 0"), path, "csv", "overwrite")
+    write_recipes(rows.filter("_half = 1"), path, "csv", "append")
+    return _csv_digest(read_recipes(spark, path, "csv"))
+
+
+def csv_split(spark, sf):
+    """One file of all documents, with line breaks in its fields, read in splits of 256 KiB."""
+    path, key = scratch_path(spark, "recipes-csv"), "spark.sql.files.maxPartitionBytes"
+    write_recipes(_csv_rows(spark, sf).coalesce(1), path, "csv", rows_per_file=0)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 * 1024))
+    try:
+        return cut(_csv_digest(read_recipes(spark, path, "csv", split=True)))
+    finally:
+        spark.conf.set(key, before)
+
+
 def vector_store(spark, sf):
     path = scratch_path(spark, "vectors")
     save_vectors(_vectors(spark, sf), path)
@@ -727,10 +757,12 @@ _QUERIES = {
     "dedup_urls": dedup_urls,
     "cap_rows": cap_rows,
     "extract_jsonld": extract_jsonld,
+    "extract_jsonld_lists": extract_jsonld_lists,
     "flatten_recipe": flatten_recipe,
     "melt_metrics": melt_metrics,
     "rescale_metric": rescale_metric,
     "csv_roundtrip": csv_roundtrip,
+    "csv_split": csv_split,
     "vector_store": vector_store,
     "load_or_build": load_or_build_q,
     "metrics_json": metrics_json,
@@ -869,6 +901,11 @@ def _own_sql() -> dict[str, str]:
             (SELECT id, label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM raw) JOIN moments USING (pos) GROUP BY id, label),
         {_SILHOUETTE}, {_CALINSKI}, scores AS (SELECT (SELECT round(avg(s), 6) + 0.0 FROM sil) AS silhouette,
             {_CH_VALUE.replace(", 6)", ", 4)")} AS calinski FROM ch)"""
+    records = f"""SELECT doc_id AS page_id, '{BASE_URL}/receita/' || doc_id AS url, source AS name, lang AS author,
+            len(string_split(text, chr(10)))::INTEGER AS n_ingredients FROM documents"""
+    as_csv = f"""SELECT r.name, r.url, d.lang AS author, NULL::VARCHAR AS description,
+            d.n_chars / 8.0::DOUBLE AS rating_value, d.n_chars AS rating_count, r.ingredients,
+            md5(r.instructions) AS instructions_md5 FROM ({_RECIPES_SQL}) r JOIN documents d ON r.id = d.doc_id"""
     mean_silhouette = f"WITH v AS ({_V}), {_SILHOUETTE} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil"
     return {
         "vec_norm": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
@@ -938,16 +975,15 @@ def _own_sql() -> dict[str, str]:
             FROM ({_LINKS})""",
         "dedup_urls": urls,
         "cap_rows": f"SELECT url FROM ({urls}) ORDER BY url LIMIT 50",
-        "extract_jsonld": f"""SELECT doc_id AS page_id, '{BASE_URL}/receita/' || doc_id AS url, source AS name, lang AS author,
-            len(string_split(text, chr(10)))::INTEGER AS n_ingredients FROM documents""",
+        "extract_jsonld_lists": records,
+        "extract_jsonld": records,
         "flatten_recipe": _FLAT,
         "melt_metrics": f"""SELECT name, "Metric", round("Score", 6) + 0.0 AS "Score" FROM (
             UNPIVOT ({_GROUPS}) ON f1, silhouette, calinski INTO NAME "Metric" VALUE "Score")""",
         "rescale_metric": f"""SELECT name, "Metric", round(CASE WHEN "Metric" = 'calinski' THEN "Score" / 1000 ELSE "Score" END, 6)
             + 0.0 AS "Score" FROM (UNPIVOT ({_GROUPS}) ON f1, silhouette, calinski INTO NAME "Metric" VALUE "Score")""",
-        "csv_roundtrip": f"""SELECT r.name, r.url, d.lang AS author, NULL::VARCHAR AS description,
-            d.n_chars / 8.0::DOUBLE AS rating_value, d.n_chars AS rating_count, r.ingredients,
-            md5(r.instructions) AS instructions_md5 FROM ({_RECIPES_SQL}) r JOIN documents d ON r.id = d.doc_id""",
+        "csv_roundtrip": as_csv,
+        "csv_split": as_csv,
         "vector_store": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm, len(e)::INTEGER AS dim FROM ({_V})",
         "load_or_build": f"SELECT id, label, len(e)::INTEGER AS dim, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
         "metrics_json": f"""SELECT name, round(f1, 6) + 0.0 AS f1, round(silhouette, 6) AS silhouette,

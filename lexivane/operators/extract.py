@@ -45,6 +45,8 @@ _JSONLD = (
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
+MAX_TAG = 2**31 - 1  # characters: as many as a string can have
+
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
@@ -72,9 +74,15 @@ def link_array(html: str | Column) -> Column:
     html = F.col(html) if isinstance(html, str) else html
     visible = F.regexp_replace(html, _OPAQUE, "")
     tags = F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))
-    hrefs = F.transform(tags, lambda tag: F.regexp_extract(tag, _HREF, 1))
-    present = F.filter(hrefs, lambda h: h != "")
-    return F.transform(present, lambda h: _unescaped(F.regexp_replace(h, r"""^["']|["']$""", "")))
+    return F.filter(F.transform(tags, _href), lambda h: h.isNotNull())
+
+
+def _href(tag: Column) -> Column:
+    """The value of a tag's ``href``; NULL without one. Most tags begin with it, in quotes."""
+    quoted = F.substring_index(F.substring(tag, 10, MAX_TAG), '"', 1)
+    given = F.nullif(F.regexp_extract(tag, _HREF, 1), F.lit(""))
+    bare = F.when(given.rlike("^[\"']"), F.substring(given, 2, F.length(given) - 2)).otherwise(given)
+    return _unescaped(F.when(F.lower(F.left(tag, F.lit(9))) == '<a href="', quoted).otherwise(bare))
 
 
 def extract_links(
