@@ -107,7 +107,8 @@ def plain_contexts(text):
     data = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
     symbols = [*data, mixing.END]
     for i, s in enumerate(symbols):
-        before = symbols[i - 1] if i else mixing.END
+        one, two = [*[mixing.END] * 2, *symbols][i : i + 2][::-1]
+        before = one + int(mixing._CLASS[two])  # the context of the tree
         done = data[:i]
         word = re.search(rb"[^\x20\x09-\x0D]*\Z", done).group()
         rest = done[: len(done) - len(word)]
@@ -141,17 +142,17 @@ def test_hashes_stand_for_contexts():
 
 def test_model_is_the_plain_one():
     train, asked = prose(60, 1), prose(12, 2, 20) + ["", "the", "zzz \n ", "Of THE the"]
-    pairs = np.zeros(257 * 257, np.int64)
+    pairs = np.zeros(mixing.CLASSES * 257 * 257, np.int64)
     for b in blocks(pa.array(train)):
         s = mixing.Symbols(b)
-        pairs += np.bincount(s.before * 257 + s.symbol, minlength=257 * 257)
-    code = mixing.build_code(pairs.reshape(257, 257))
+        pairs += np.bincount(s.context * 257 + s.symbol, minlength=len(pairs))
+    code = mixing.build_code(pairs.reshape(-1, 257))
     tally = mixing.Tally(code, mixing.TABLE_BITS)
     for b in blocks(pa.array(train)):
         tally.add(mixing.Symbols(b))
     tally.settle()
     weights, refine = mixing.start_weights()
-    model = mixing.Model(code, [mixing.log_odds(mixing.by_decision(code, pairs.reshape(257, 257))), *map(mixing.log_odds, tally.tables)],
+    model = mixing.Model(code, [mixing.log_odds(mixing.by_decision(code, pairs.reshape(-1, 257))), *map(mixing.log_odds, tally.tables)],
                          mixing.TABLE_BITS, weights, refine)
     mixing.learn(model, list(blocks(pa.array(train))))
     counts = [{} for _ in range(mixing.INPUTS)]
@@ -165,9 +166,13 @@ def test_model_is_the_plain_one():
 
 
 def test_paths_of_a_tree_are_a_code():
-    code = mixing.build_code(np.random.default_rng(0).integers(0, 50, (257, 257)))
-    for before in (0, 97, 256):
-        entry = code.tree_of[before] * 257 + np.arange(257)
+    counts = np.random.default_rng(0).integers(0, 50, (mixing.CLASSES * 257, 257))
+    counts[300:900] = 0  # contexts that never occur
+    counts[97] *= 1000  # one with a tree of its own
+    code = mixing.build_code(counts)
+    assert code.n_nodes == 256 * (1 + 257 + (counts.sum(axis=1) * mixing.TREES >= counts.sum()).sum())
+    for context in (0, 97, 256, 500, 4000):
+        entry = code.tree_of[context] * 257 + np.arange(257)
         assert (0.5 ** code.length[entry]).sum() == pytest.approx(1.0)  # as a complete tree has it
 
 
