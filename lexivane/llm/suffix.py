@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexivane.llm.passages import passage_keys
 from lexivane.llm.ragged import Block, blocks, mix
 from lexivane.llm.scratch import drop_scratch
 from lexivane.session import cut, scratch_path
@@ -424,18 +425,21 @@ def repeated_spans(
 def dedup_substrings(
     df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **limits
 ) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay; and whether
+    the text holds more than fifty words in a row of another row's, which may be fewer bytes."""
     spans = repeated_spans(df, length, id_col, text_col, **limits)
     left = spans.select("key", _removed("text", "low", "high").alias("c"))
     left = cut(left.select("key", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("sha")))
     rows = _keyed(df, id_col, text_col).select(
-        "doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha")
+        "doc_id", "key", F.xxhash64("text").alias("k"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha")
     )
+    shared = passage_keys(df, text_col).withColumn("shares_passage", F.lit(True))
     copied = rows.filter(F.col("n_bytes") >= length).groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"))
-    return rows.join(left, "key", "left").join(copied, "key", "left").select(
+    return rows.join(left, "key", "left").join(copied, "key", "left").join(shared, "k", "left").select(
         "doc_id",
         "n_bytes",
         F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copied"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(F.col("copied"), hashlib.sha256().hexdigest()).otherwise(F.coalesce("sha", "own_sha")).alias("kept_sha256"),
+        F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"),
     )
