@@ -40,6 +40,7 @@ from lexivane.plans.engine import CorpusEngine, metric_bars, run_analysis
 from lexivane.plans.evaluate import compare_methods, evaluate_vectors, reduction_methods
 from lexivane.schemas import RECIPE
 from lexivane.session import cut, scratch_path, ship_package
+from lexivane.sources.incremental import update_rows
 from lexivane.sources.metrics import read_metrics, write_metrics
 from lexivane.sources.pages import read_pages
 from lexivane.sources.recipes import read_recipes, write_recipes
@@ -464,6 +465,21 @@ def vector_store(spark, sf):
     return load_vectors(spark, path).select("id", _r("norm").alias("norm"), F.size("embedding").alias("dim"))
 
 
+def update_vectors(spark, sf):
+    """Vectors of all documents, then again after every hundredth text has changed: those alone
+    are computed anew."""
+    docs, path = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), scratch_path(spark, "versions")
+    encoder = HashedTfIdf.fit(docs)
+
+    def embedded(rows):
+        return embed_text(rows, encoder=encoder).select("id", "embedding")
+
+    update_rows(spark, path, docs, embedded, made_by="first corpus")
+    doubled = F.when((F.col("id") % 100 == 7) & F.col("text").isNotNull(), F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    rows = update_rows(spark, path, docs.withColumn("text", doubled), embedded, made_by="first corpus")
+    return rows.select("id", "computed_in", _r(vec_norm("embedding"), 4).alias("norm"))
+
+
 def load_or_build_q(spark, sf):
     """Built on the first call, loaded on the second: its builder would fail."""
     v = _vectors(spark, sf).select("id", "label", "embedding")
@@ -764,6 +780,7 @@ _QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "csv_split": csv_split,
     "vector_store": vector_store,
+    "update_vectors": update_vectors,
     "load_or_build": load_or_build_q,
     "metrics_json": metrics_json,
     "ingest_links_stream": ingest_links_stream,
@@ -985,6 +1002,8 @@ def _own_sql() -> dict[str, str]:
         "csv_roundtrip": as_csv,
         "csv_split": as_csv,
         "vector_store": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm, len(e)::INTEGER AS dim FROM ({_V})",
+        "update_vectors": """SELECT doc_id AS id, CASE WHEN doc_id % 100 = 7 AND text IS NOT NULL THEN 2 ELSE 1 END::INTEGER AS computed_in,
+            CASE WHEN coalesce(trim(text), '') = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents""",
         "load_or_build": f"SELECT id, label, len(e)::INTEGER AS dim, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM ({_V})",
         "metrics_json": f"""SELECT name, round(f1, 6) + 0.0 AS f1, round(silhouette, 6) AS silhouette,
             round(calinski, 6) AS calinski FROM ({_GROUPS})""",
