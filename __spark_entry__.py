@@ -693,12 +693,12 @@ def run_analysis_q(spark, sf):
 
 
 def engine_search(spark, sf):
-    """Texts of the benchmark table as queries against the embedded documents."""
-    docs = _recipes(spark, sf)
-    encoder = HashedTfIdf.fit(docs.select(compose(DOCUMENT_TEMPLATE).alias("text")))
-    corpus = embed_text(docs.select("id", compose(DOCUMENT_TEMPLATE).alias("text")), encoder=encoder)
-    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit(QUERY_PREFIX), "text").alias("text"))
-    return S.search_batch(corpus, embed_text(asked, encoder=encoder), meta=docs)
+    """Texts of the benchmark table as queries to the engine of the documents."""
+    small = {"dims": (512, 32), "rounds": 1}  # the search does not use the encoder's codes
+    engine = CorpusEngine(spark, scratch_path(spark, "engine"), taxonomy=WORDS, autoencoder=small)
+    engine.prepare(_as_recipe_table(_recipes(spark, sf)))
+    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return engine.search_table(asked)
 
 
 def _as_recipe_table(df: DataFrame) -> DataFrame:
