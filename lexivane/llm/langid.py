@@ -31,6 +31,7 @@ BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 SAMPLE_ROWS = 4000  # bound of the rows that weights and temperature are fitted on
 SAMPLE_VALUES = 6_000_000  # and of their feature values together
+BROADCAST_LANGUAGES = 100_000  # names and numbers of rows that are broadcast at most
 UNKNOWN = "und"
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-3, 1e-3, 3
 
@@ -156,7 +157,9 @@ def _sample(df: DataFrame, text_col: str, lang_col: str, rows: int, values: int)
     some = df.select(text.alias("x"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text, F.lit(5)).alias("o"))
     # every language has the same quota, so none vanishes among many rows of others
     by_lang = some.groupBy("l").agg(F.count("*").alias("n"))
-    quota = max(1, rows // max(1, by_lang.count()))
+    n_langs = by_lang.count()
+    quota = max(1, rows // max(1, n_langs))
+    by_lang = F.broadcast(by_lang) if n_langs <= BROADCAST_LANGUAGES else by_lang  # the texts stay where they are
     share = F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("n"))  # a range of hashes that holds enough rows
     some = some.join(by_lang, "l").filter(F.col("o") <= (share * float((1 << 64) - 4096) - float(1 << 63)).cast("long"))
     some = some.select("x", "l", "o").dropDuplicates(["o", "l"])
