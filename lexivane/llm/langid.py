@@ -4,8 +4,9 @@ Features are TF-IDF weights of hashed character n-grams (one to three code point
 letters folded), each text of length 1. Document frequencies are counted over all rows that
 may be learned from. The weights are fitted on a bounded sample of them, with the same quota for
 every language, so that rare ones stay learnable at any size (of more languages than the sample
-has rows, those whose first text has the least hash), by follow-the-regularised-leader with elastic-net penalties, which sets most weights to zero; a
-temperature is then fitted on rows of the sample that the weights have not seen.
+has rows, those whose first text has the least hash), by follow-the-regularised-leader with
+elastic-net penalties, which sets most weights to zero; a temperature is then fitted on rows of
+the sample that the weights have not seen.
 
 The prediction of a text that is NULL or has no letter is ``und`` with score 0, and so is
 every prediction if there is nothing to learn from. With one language that one is predicted.
