@@ -131,7 +131,8 @@ def passage_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = texts.join(asked.select("k"), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     some = wanted.join(asked, "k").select("k", F.explode(_window_hashes("text", "lo", "hi")).alias("w"))
     some = cut(some)
-    met = some.join(_repeated(some, "w"), "w", "left_semi").select("k")
+    # only texts still open are looked up, so a window of masses of settled ones makes no hot task
+    met = some.join(settled, "k", "left_anti").join(_repeated(some, "w"), "w", "left_semi").select("k")
     found = cut(settled.unionByName(met).distinct())
     drop_scratch(spark, path)
     return found
