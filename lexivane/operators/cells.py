@@ -133,10 +133,11 @@ def search_cells(
             chosen = np.where((first < 0)[:, None], np.arange(len(cells)) == best[:, None], cells != first[:, None])
             row, col = np.nonzero(chosen & (bound > need[:, None]))
             picked = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([picked.column("query_id"), picked.column("embedding"), picked.column("q_block"), pa.array(cells[col])], ["query_id", "embedding", "q_block", "cell"])
+            columns = [picked.column(c) for c in ("query_id", "embedding", "q_block", "need")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells[col])], ["query_id", "embedding", "q_block", "need", "cell"])
 
     def visits(waiting: DataFrame) -> DataFrame:
-        return cut(waiting.select("query_id", "embedding", "q_block", "need", "first").mapInArrow(bounds, f"query_id {kind}, embedding array<double>, q_block int, cell int"))
+        return cut(waiting.select("query_id", "embedding", "q_block", "need", "first").mapInArrow(bounds, f"query_id {kind}, embedding array<double>, q_block int, need double, cell int"))
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, set[int]]:
         wanted = {r.cell for r in pairs.select("cell").distinct().collect()}
@@ -153,6 +154,11 @@ def search_cells(
                 queries["query_id"].to_numpy(), _unit(B.as_matrix(queries["embedding"])), rows["id"].to_numpy(),
                 _unit(B.as_matrix(rows["embedding"])), top_k, min_score,
             ) if queries.num_rows and rows.num_rows else {}
+            if found:  # what cannot be among the best of its query any more stays here
+                ids = queries["query_id"].to_numpy()
+                order = np.argsort(ids)
+                need = queries["need"].to_numpy()[order[np.searchsorted(ids, found["query_id"], sorter=order)]]
+                found = {name: column[found["similarity_score"] >= need] for name, column in found.items()}
             columns = ("query_id", "id", "similarity_score")
             return pa.table([found.get(c, queries["query_id"].to_numpy()[:0] if c != "similarity_score" else np.empty(0)) for c in columns], names=columns)
 
