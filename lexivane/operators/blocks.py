@@ -5,9 +5,10 @@ reduced result (k best, sums per label) leaves a task. Two plans are offered:
 
 * one side small (size checked against ``BROADCAST_BYTES``): it is broadcast and the
   other side is scanned where it lies, however large it is;
-* otherwise both sides are cut into blocks of bounded size by a hash of the id, and each
-  pair of blocks becomes one group. Memory per task is fixed by the block size, no key of
-  the data decides the placement, so skewed labels or copies cannot make a hot task.
+* otherwise both sides are packed into panels of bounded size by a hash of the id, which are
+  checkpointed once; every panel of one side meets all panels of the other, one after the
+  other. No vector is shuffled again, however many panels there are, and no key of the data
+  decides the placement, so skewed labels or copies cannot make a hot task.
 """
 
 from __future__ import annotations
@@ -18,13 +19,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.session import cut
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 32 * 1024 * 1024
 TILE_CELLS = 4 * 1024 * 1024
 
+# A panel: its vectors as doubles, and how many there should be at least to occupy the cores.
+PANEL_BYTES = 2 * 1024 * 1024
+LEAST_PANELS = 32
+# Panels of the other side that a task goes through.
+SIDE_BYTES = 128 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class Extent:
@@ -91,22 +101,97 @@ def block_id(key: str, n_blocks: int):
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 
 
-def self_pairs(df: DataFrame, key: str, n_blocks: int, out: tuple[str, str] = ("lo", "hi")) -> DataFrame:
-    """Send each row to every unordered pair of blocks that its own block is part of.
+@dataclass(frozen=True)
+class Panel:
+    """Rows that travel together."""
 
-    Repeated rows grow with the number of blocks, pairs of rows are never formed. The
-    number of partitions is stated so that adaptive execution, which only sees bytes,
-    does not merge these compute-heavy groups.
+    number: int
+    ids: np.ndarray
+    matrix: np.ndarray
+    codes: np.ndarray | None
+
+
+def panels(df: DataFrame, size: Extent, block_bytes: int) -> DataFrame:
+    """Rows ``(id, embedding[, code])`` packed into panels, checkpointed.
+
+    A panel holds ``PANEL_BYTES``; fewer, though not below ``block_bytes``, if there would not
+    be ``LEAST_PANELS``. Rows of one id that outgrow a panel begin another.
     """
-    lo, hi = out
-    paired = (
-        df.withColumn("_block", block_id(key, n_blocks))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .withColumn(lo, F.least("_block", "_other"))
-        .withColumn(hi, F.greatest("_block", "_other"))
-        .drop("_other")
-    )
-    return paired.repartition(_partitions(df, n_blocks * (n_blocks + 1) // 2), lo, hi)
+    few = min(size.blocks(min(block_bytes, PANEL_BYTES)), LEAST_PANELS)
+    n = max(size.blocks(PANEL_BYTES), few)
+    most = max(1, 2 * PANEL_BYTES // (8 * max(1, size.dim)))
+    coded = "code" in df.columns
+    columns = ["id", "embedding"] + (["code"] if coded else [])
+
+    def pack(batches):
+        held, rows, made = [], 0, 0
+
+        def packed():
+            table = pa.Table.from_batches(held).combine_chunks()
+            number = (TaskContext.get().partitionId() << 32) + made
+            data = [as_matrix(table["embedding"]).tobytes()]
+            ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), _one(table["id"]))
+            arrays = [pa.array([number], pa.int64()), ids, pa.array(data, pa.large_binary())]
+            if coded:
+                arrays.append(pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), _one(table["code"])))
+            return pa.RecordBatch.from_arrays(arrays, ["panel", "ids", "data", "codes"][: len(arrays)])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                if rows + part.num_rows > most:
+                    yield packed()
+                    held, rows, made = [], 0, made + 1
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield packed()
+
+    kind = df.schema["id"].dataType.simpleString()
+    schema = f"panel long, ids array<{kind}>, data binary" + (", codes array<long>" if coded else "")
+    return cut(df.select(*columns).repartition(n, "id").mapInArrow(pack, schema))
+
+
+def meet(left: DataFrame, right: DataFrame, right_size: Extent, begin, schema) -> DataFrame:
+    """Let every panel of ``left`` meet all panels of ``right``, and gather what comes of it.
+
+    ``begin(panel)`` is called for each panel of ``left`` and gives two functions: one that takes a
+    panel of ``right`` and may return a batch of results, and one that returns the last batch.
+    A task keeps one panel and reads ``SIDE_BYTES`` of the other side.
+    """
+    others = right.select(*(F.col(c).alias(f"_{c}") for c in right.columns)).coalesce(right_size.blocks(SIDE_BYTES))
+    pairs = left.join(others.hint("shuffle_replicate_nl"))  # a product of partitions; nothing is shuffled
+    width = len(left.columns)
+
+    def gather(batches):
+        number = add = end = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                here = batch.column(0)[row].as_py()
+                if here != number:
+                    if end is not None:
+                        yield end()
+                    number = here
+                    add, end = begin(_panel(batch.columns[:width], row))
+                out = add(_panel(batch.columns[width:], row))
+                if out is not None:
+                    yield out
+        if end is not None:
+            yield end()
+
+    return pairs.mapInArrow(gather, schema)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
+
+
+def _panel(columns: list[pa.Array], row: int) -> Panel:
+    ids = columns[1][row].values.to_numpy(zero_copy_only=False)
+    matrix = np.frombuffer(columns[2][row].as_buffer(), np.float64).reshape(len(ids), -1)
+    codes = columns[3][row].values.to_numpy(zero_copy_only=False) if len(columns) > 3 else None
+    return Panel(columns[0][row].as_py(), ids, matrix, codes)
 
 
 def present(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -122,10 +207,6 @@ def scatter(lists: pa.Array, at: np.ndarray, rows: int) -> pa.Array:
     return lists.take(pa.array(where, mask=where < 0))
 
 
-def _partitions(df: DataFrame, groups: int) -> int:
-    return max(1, min(groups, 100_000))
-
-
 def k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k highest scores per row, ties by ascending id.
 
@@ -142,3 +223,25 @@ def k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     starts = np.searchsorted(rows, np.arange(scores.shape[0]))
     within = np.arange(len(rows)) - starts[rows]
     return rows[within < k], cols[within < k]
+
+
+def self_pairs(df: DataFrame, key: str, n_blocks: int, out: tuple[str, str] = ("lo", "hi")) -> DataFrame:
+    """Send each row to every unordered pair of blocks that its own block is part of.
+
+    Repeated rows grow with the number of blocks, pairs of rows are never formed. The
+    number of partitions is stated so that adaptive execution, which only sees bytes,
+    does not merge these compute-heavy groups.
+    """
+    lo, hi = out
+    paired = (
+        df.withColumn("_block", block_id(key, n_blocks))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .withColumn(lo, F.least("_block", "_other"))
+        .withColumn(hi, F.greatest("_block", "_other"))
+        .drop("_other")
+    )
+    return paired.repartition(_partitions(df, n_blocks * (n_blocks + 1) // 2), lo, hi)
+
+
+def _partitions(df: DataFrame, groups: int) -> int:
+    return max(1, min(groups, 100_000))

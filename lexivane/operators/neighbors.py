@@ -28,6 +28,9 @@ NEIGHBORS = 15
 # Relative error of a squared distance that comes from a matrix product.
 NOISE = 1e-12
 
+# Pairs whose products are taken together: a few hundred kilobytes of them.
+TILE_ROWS, TILE_COLUMNS = 128, 1024
+
 # Bucket sizes (three integers each) that may be broadcast.
 MAX_BROADCAST_COUNTS = 1_000_000
 
@@ -50,8 +53,8 @@ def knn_graph(
     if size.fits(broadcast_bytes):
         return _ranked(_scan(rows, k, schema), k)
     kept, settled = collapse_copies(rows, k)
-    pairs = B.self_pairs(kept, "id", size.blocks(block_bytes))
-    partial = pairs.groupBy("lo", "hi").applyInArrow(_block(k), schema)
+    panels = B.panels(kept, size, block_bytes)
+    partial = B.meet(panels, panels, size, lambda panel: _gather(panel, k, schema.names), schema)
     return _ranked(partial.unionByName(settled), k)
 
 
@@ -170,34 +173,91 @@ def _schema(rows: DataFrame) -> T.StructType:
     )
 
 
-def _nearest(ids, matrix, other_ids, other, k) -> list[np.ndarray]:
-    """The k nearest rows of ``other`` for each row, never the row itself.
+class Nearest:
+    """The k nearest of all rows met so far for each row of a matrix, never the row itself.
 
     A product gives each squared distance with an error below ``NOISE`` of that pair's own
     squared lengths. Every row that could be among the k best within its own error is
-    measured exactly, and the exact distances decide; ids break ties.
+    measured exactly, and the exact distances decide; ids break ties. ``bound`` is a squared
+    distance that k rows met so far do not exceed, so most pairs cost no more than their
+    product; products are taken in tiles that stay in a core's cache.
     """
-    squares = (matrix**2).sum(axis=1)
-    other_squares = (other**2).sum(axis=1)
-    parts = []
-    for tile in B.tiles(len(ids), len(other_ids)):
-        both = squares[tile, None] + other_squares
-        d2 = both - 2.0 * (matrix[tile] @ other.T)
-        error = NOISE * both
-        d2[ids[tile, None] == other_ids] = np.inf
-        most = d2 + error
-        bound = np.partition(most, k - 1, axis=1)[:, k - 1 : k] if most.shape[1] > k else np.inf
-        r, c = np.nonzero((d2 - error <= bound) & (d2 < np.inf))
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.squares = (matrix**2).sum(axis=1)
+        self.left = np.hstack([-2.0 * matrix, np.ones((len(ids), 1))])
+        self.bound = np.full(len(ids), np.inf)
+        self.row, self.distance = np.empty(0, np.int64), np.empty(0)
+        self.other = ids[:0]
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
+
+    def meet(self, other_ids: np.ndarray, other: np.ndarray) -> None:
+        squares = (other**2).sum(axis=1)
+        right = np.hstack([other, (1 - NOISE) * squares[:, None]])
+        for lo in range(0, len(other_ids), TILE_COLUMNS):
+            columns = slice(lo, min(len(other_ids), lo + TILE_COLUMNS))
+            part = np.ascontiguousarray(right[columns].T)
+            for start in range(0, len(self.ids), TILE_ROWS):
+                rows = slice(start, min(len(self.ids), start + TILE_ROWS))
+                least = self.left[rows] @ part  # and (1 - NOISE) * squares of the row
+                own = (1 - NOISE) * self.squares[rows]
+                if least.shape[1] > self.k and np.isinf(self.bound[rows]).any():
+                    most = least + own[:, None] + 2 * NOISE * (self.squares[rows, None] + squares[columns])
+                    most[self.ids[rows, None] == other_ids[columns]] = np.inf
+                    self.bound[rows] = np.fmin(self.bound[rows], np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
+                at = np.flatnonzero(least <= (self.bound[rows] - own)[:, None])
+                at = at[np.isfinite(least.ravel()[at])]
+                self._measure(at // least.shape[1] + start, at % least.shape[1] + lo, other_ids, other)
+            if self.n_waiting > len(self.ids) * self.k:
+                self._settle()
+
+    def _measure(self, r: np.ndarray, c: np.ndarray, other_ids: np.ndarray, other: np.ndarray) -> None:
+        apart = self.ids[r] != other_ids[c]
+        r, c = r[apart], c[apart]
         exact = np.empty(len(r))
-        for part in B.tiles(len(r), matrix.shape[1]):
-            difference = matrix[tile][r[part]] - other[c[part]]
-            exact[part] = np.sqrt((difference**2).sum(axis=1))
-        order = np.lexsort((other_ids[c], exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        first = np.searchsorted(r, np.arange(len(matrix[tile])))
-        best = np.arange(len(r)) - first[r] < k
-        parts.append((ids[tile][r[best]], other_ids[c[best]], exact[best]))
-    return [np.concatenate(column) for column in zip(*parts)]
+        for part in B.tiles(len(r), self.matrix.shape[1]):
+            exact[part] = np.sqrt(((self.matrix[r[part]] - other[c[part]]) ** 2).sum(axis=1))
+        self.waiting.append((r, other_ids[c], exact))
+        self.n_waiting += len(r)
+
+    def _settle(self) -> None:
+        held = [(self.row, self.other, self.distance), *self.waiting]
+        r, other, exact = (np.concatenate(column) for column in zip(*held))
+        order = np.lexsort((other, exact, r))
+        r, other, exact = r[order], other[order], exact[order]
+        first = np.searchsorted(r, np.arange(len(self.ids)))
+        rank = np.arange(len(r)) - first[r]
+        full = rank == self.k - 1
+        self.bound[r[full]] = np.fmin(self.bound[r[full]], exact[full] ** 2 * (1 + NOISE))
+        best = rank < self.k
+        self.row, self.other, self.distance = r[best], other[best], exact[best]
+        self.waiting, self.n_waiting = [], 0
+
+    def found(self) -> list[np.ndarray]:
+        """Ids, their neighbours' ids and distances, nearest first."""
+        self._settle()
+        return [self.ids[self.row], self.other, self.distance]
+
+
+def _nearest(ids, matrix, other_ids, other, k) -> list[np.ndarray]:
+    """The k nearest rows of ``other`` for each row, never the row itself."""
+    near = Nearest(ids, matrix, k)
+    near.meet(other_ids, other)
+    return near.found()
+
+
+def _gather(panel: B.Panel, k: int, names: list[str]):
+    near = Nearest(panel.ids, panel.matrix, k)
+
+    def add(other: B.Panel) -> None:
+        near.meet(other.ids, other.matrix)
+
+    def end() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in near.found()], names)
+
+    return add, end
 
 
 def _block(k: int):
