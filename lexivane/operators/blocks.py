@@ -223,25 +223,3 @@ def k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     starts = np.searchsorted(rows, np.arange(scores.shape[0]))
     within = np.arange(len(rows)) - starts[rows]
     return rows[within < k], cols[within < k]
-
-
-def self_pairs(df: DataFrame, key: str, n_blocks: int, out: tuple[str, str] = ("lo", "hi")) -> DataFrame:
-    """Send each row to every unordered pair of blocks that its own block is part of.
-
-    Repeated rows grow with the number of blocks, pairs of rows are never formed. The
-    number of partitions is stated so that adaptive execution, which only sees bytes,
-    does not merge these compute-heavy groups.
-    """
-    lo, hi = out
-    paired = (
-        df.withColumn("_block", block_id(key, n_blocks))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .withColumn(lo, F.least("_block", "_other"))
-        .withColumn(hi, F.greatest("_block", "_other"))
-        .drop("_other")
-    )
-    return paired.repartition(_partitions(df, n_blocks * (n_blocks + 1) // 2), lo, hi)
-
-
-def _partitions(df: DataFrame, groups: int) -> int:
-    return max(1, min(groups, 100_000))

@@ -19,6 +19,12 @@ from lexivane.schemas import METRICS
 # Fixed value: the axis scale of the one metric that is not of order one.
 CALINSKI_SCALE = 1000
 
+# Distances taken together: a few hundred kilobytes of them.
+TILE_ROWS, TILE_COLUMNS = 128, 1024
+
+# Sums (row by label) that a task holds before it sends them on.
+HELD_SUMS = 4_000_000
+
 
 def reconstruction_mse(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean squared component error, as one row ``mse``."""
@@ -107,9 +113,9 @@ def silhouette_rows(
     )
     if size.fits(broadcast_bytes):
         return _silhouette_scan(coded, kind)
-    pairs = B.self_pairs(coded.select("id", "embedding", "code"), "id", size.blocks(block_bytes))
+    panels = B.panels(coded, size, block_bytes)
     # Placed by id once, all that follows stays within a partition.
-    sums = pairs.groupBy("lo", "hi").applyInArrow(_label_sums_of_pair, sums_schema).repartition("id")
+    sums = B.meet(panels, panels, size, _gather_sums, sums_schema).repartition("id")
     counts = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"))
     per_label = sums.groupBy("id", "own", "code").agg(F.sum("total").alias("total")).join(counts, "code")
     own = F.col("own") == F.col("code")
@@ -152,44 +158,76 @@ def silhouette(
     return totals.select(_checked(F.col("k"), F.col("n"), F.col("s") / F.col("n")).alias("silhouette"))
 
 
+class LabelSums:
+    """Rows in label order, ready for the sum of distances from others to those of each label."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, codes: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        matrix = matrix[order]
+        self.labels, self.starts = np.unique(codes[order], return_index=True)
+        self.right = np.vstack([matrix.T, (matrix**2).sum(axis=1), np.ones(len(ids))])
+        ids = ids[order]
+        self.by_id = np.argsort(ids, kind="stable")
+        self.ids = ids[self.by_id]
+
+    def of(self, ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """One row per id, one column per label; the distance of a row to itself is 0."""
+        ones = np.ones((len(ids), 1))
+        left = np.hstack([-2.0 * matrix, ones, (matrix**2).sum(axis=1, keepdims=True)])
+        lo = np.searchsorted(self.ids, ids, side="left")
+        times = np.where(ids == ids, np.searchsorted(self.ids, ids, side="right") - lo, 0)
+        r = np.repeat(np.arange(len(ids)), times)
+        c = self.by_id[np.repeat(lo - np.cumsum(times) + times, times) + np.arange(len(r))]
+        sums = np.zeros((len(ids), len(self.labels)))
+        for begin in range(0, self.right.shape[1], TILE_COLUMNS):
+            end = min(self.right.shape[1], begin + TILE_COLUMNS)
+            part = np.ascontiguousarray(self.right[:, begin:end])
+            first = int(np.searchsorted(self.starts, begin, side="right")) - 1
+            last = int(np.searchsorted(self.starts, end, side="left"))
+            cuts = np.maximum(self.starts[first:last] - begin, 0)
+            here = (c >= begin) & (c < end)
+            own_r, own_c = r[here], c[here] - begin
+            for start in range(0, len(ids), TILE_ROWS):
+                distance = left[start : start + TILE_ROWS] @ part
+                np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+                own = slice(*np.searchsorted(own_r, [start, start + TILE_ROWS]))
+                distance[own_r[own] - start, own_c[own]] = 0.0
+                sums[start : start + TILE_ROWS, first:last] += np.add.reduceat(distance, cuts, axis=1)
+        return sums
+
+
 def _label_sums(ids, matrix, other_ids, other, codes) -> tuple[np.ndarray, np.ndarray]:
     """Sum of distances from each row to the rows of each label in ``other``."""
-    order = np.argsort(codes, kind="stable")
-    other, other_ids, codes = other[order], other_ids[order], codes[order]
-    labels, starts = np.unique(codes, return_index=True)
-    squares, other_squares = (matrix**2).sum(axis=1), (other**2).sum(axis=1)
-    sums = np.empty((len(ids), len(labels)))
-    for tile in B.tiles(len(ids), len(other_ids)):
-        d2 = squares[tile, None] + other_squares - 2.0 * (matrix[tile] @ other.T)
-        distance = np.sqrt(np.maximum(d2, 0.0))
-        distance[ids[tile, None] == other_ids] = 0.0
-        sums[tile] = np.add.reduceat(distance, starts, axis=1)
-    return labels, sums
-
-
-def _label_sums_of_pair(table: pa.Table) -> pa.Table:
-    ids, codes = table["id"].to_numpy(), table["code"].to_numpy()
-    matrix = B.as_matrix(table["embedding"])
-    same = table["lo"][0] == table["hi"][0]
-    lower = table["_block"].to_numpy() == table["lo"][0].as_py()
-    sides = [(lower, lower)] if same else [(lower, ~lower), (~lower, lower)]
-    parts = []
-    for a, b in sides:
-        if a.any() and b.any():
-            labels, sums = _label_sums(ids[a], matrix[a], ids[b], matrix[b], codes[b])
-            width = len(labels)
-            parts.append(
-                (np.repeat(ids[a], width), np.repeat(codes[a], width), np.tile(labels, a.sum()), sums.ravel())
-            )
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [ids[:0], codes[:0], codes[:0], np.empty(0)]
-    return pa.table(columns, names=["id", "own", "code", "total"])
+    sums = LabelSums(other_ids, other, codes)
+    return sums.labels, sums.of(ids, matrix)
+
+
+def _gather_sums(panel: B.Panel):
+    """Sums of a panel's rows over the panels it meets; many labels are sent in parts."""
+    held: dict[int, np.ndarray] = {}
+
+    def end() -> pa.RecordBatch:
+        codes = np.array(list(held), np.int64)
+        totals = np.concatenate(list(held.values())) if held else np.empty(0)
+        columns = [np.tile(panel.ids, len(codes)), np.tile(panel.codes, len(codes)), np.repeat(codes, len(panel.ids)), totals]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "own", "code", "total"])
+
+    def add(other: B.Panel) -> pa.RecordBatch | None:
+        labels, sums = _label_sums(panel.ids, panel.matrix, other.ids, other.matrix, other.codes)
+        for code, column in zip(labels.tolist(), sums.T):
+            held[code] = held[code] + column if code in held else column
+        return end() if len(held) * len(panel.ids) > HELD_SUMS else None
+
+    return add, end
 
 
 def _silhouette_scan(coded: DataFrame, kind: T.DataType) -> DataFrame:
     """The whole set fits in a broadcast: every task scores its own rows."""
     table = coded.select("id", "embedding", "code").toArrow()
+    codes = table["code"].to_numpy()
     shared = coded.sparkSession.sparkContext.broadcast(
-        (table["id"].to_numpy(), B.as_matrix(table["embedding"]), table["code"].to_numpy())
+        (LabelSums(table["id"].to_numpy(), B.as_matrix(table["embedding"]), codes), np.unique(codes, return_counts=True)[1])
     )
     schema = T.StructType(
         [
@@ -200,14 +238,13 @@ def _silhouette_scan(coded: DataFrame, kind: T.DataType) -> DataFrame:
     )
 
     def score(batches):
-        other_ids, other, codes = shared.value
-        _, counts = np.unique(codes, return_counts=True)
+        others, counts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            own = np.searchsorted(np.unique(codes), batch.column("code").to_numpy(zero_copy_only=False))
-            _, sums = _label_sums(ids, B.as_matrix(batch.column("embedding")), other_ids, other, codes)
+            own = np.searchsorted(others.labels, batch.column("code").to_numpy(zero_copy_only=False))
+            sums = others.of(ids, B.as_matrix(batch.column("embedding")))
             at = np.arange(len(ids))
             with np.errstate(invalid="ignore", divide="ignore"):
                 a = sums[at, own] / (counts[own] - 1)
