@@ -129,3 +129,46 @@ def test_interval_covers_the_silhouette(spark):
         assert r.low <= exact <= r.high and r.high - r.low < 0.06 and (r.rows_drawn, r.rows) == (361, 1500)
     whole = silhouette_interval(df, per_label=300).first()
     assert whole.low == whole.high == pytest.approx(exact)
+
+
+# --- products by records of blocks -------------------------------------------------------
+
+
+def test_products_send_packed_rows_between_many_blocks(spark, monkeypatch):
+    """Several products in a row, a record per block and one shuffle per product; a row with an entry everywhere."""
+    monkeypatch.setattr(panels, "LEAST_ROWS", 10)
+    rng = np.random.default_rng(11)
+    n, m = 300, 4
+    dense = np.diag(rng.random(n) + 0.5)
+    for i, j in rng.integers(0, n, (900, 2)):
+        dense[i, j] = dense[j, i] = rng.random()
+    dense[7, :] = dense[:, 7] = rng.random(n) + 0.1
+    entries = [(f"r{i}", f"r{j}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    cells = panels.deal(spark.createDataFrame(entries, "src string, dst string, w double"), m)
+    assert cells.n_blocks == panels.LEAST_BLOCKS  # however much a cell may hold, all cores have some
+    y, z = rng.normal(size=(n, m)), rng.normal(size=(n, m))
+    held = spark.createDataFrame([(f"r{i}", y[i].tolist(), z[i].tolist()) for i in range(n)], "id string, y array<double>, z array<double>")
+    state = panels.pack(cells, cells.rows.join(held, "id"))
+    done = panels.products(cells, state, [(0.7, -0.3, 0.2), (1.0, 0.0, 0.0), (0.5, 0.0, -1.0)])
+    assert done.rdd.getNumPartitions() == cells.n_blocks and done.count() == cells.n_blocks
+    for a, b, c in ((0.7, -0.3, 0.2), (1.0, 0.0, 0.0), (0.5, 0.0, -1.0)):
+        y, z = z, a * dense @ z + b * z + c * y
+    got = {r.id: r for r in panels.unpack(cells, panels.combine(done, lambda y, z: (2 * y, z))).collect()}
+    assert np.allclose([got[f"r{i}"].y for i in range(n)], 2 * y) and np.allclose([got[f"r{i}"].z for i in range(n)], z)
+    assert np.allclose(panels.gram(done, "y", "z"), y.T @ z)
+
+
+def test_entries_of_a_piece_in_parts(monkeypatch):
+    """Rows cut anywhere by the bound on what is multiplied at once."""
+    monkeypatch.setattr(panels.B, "TILE_CELLS", 8 * 3 * 2)  # three entries at a time
+    rng = np.random.default_rng(2)
+    dense = rng.random((9, 12)) * (rng.random((9, 12)) < 0.6)
+    i, j = np.nonzero(dense)
+    shuffled = rng.permutation(len(i))
+    table = panels.pa.table({"block": [0] * len(i), "other": [1] * len(i), "i": i[shuffled], "j": j[shuffled], "w": dense[i, j][shuffled]})
+    piece, send = panels._piece(table).to_pylist()
+    z = rng.normal(size=(12, 2))
+    block = panels._Block(0, np.zeros((9, 2)), np.zeros((9, 2)), (2.0, 0.0, 0.0))
+    block.piece = [np.frombuffer(piece[c], t) for c, t in zip(("one", "two", "three", "four"), (np.int32, np.int64, np.int32, np.float64))]
+    block.add(z[np.frombuffer(send["one"], np.int32)])
+    assert np.allclose(block.z, 2 * dense @ z)
