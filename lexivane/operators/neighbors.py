@@ -2,12 +2,13 @@
 
 The exact graph costs a distance per pair of rows, whatever the plan. Beyond some ten
 million rows use :func:`knn_graph_lsh`: rows are only compared when they fall on the same
-side of a set of random planes in one of several tables.
+side of a set of random planes in one of several tables, which saves work if the planes are many.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,9 @@ def knn_graph_lsh(
     distances are exact. A bucket is never cut short: one that outgrows a block is split
     into blocks, and all pairs of its blocks are worked off as separate groups. ``bits``
     planes make a bucket; by default as many as let buckets fill one block on average,
-    which keeps the work proportional to the rows.
+    which keeps the work proportional to the rows. With so few planes that the tables would bring
+    together more pairs than there are, every pair is looked at once, by panels, and counts if its rows
+    meet in some table: the same neighbours.
     """
     rows = _comparable(df, id_col, vec)
     size = B.extent_of(rows)
@@ -132,6 +135,12 @@ def knn_graph_lsh(
         return B.as_lists(codes.astype(np.int32))
 
     kept, settled = collapse_copies(rows, k)
+    if tables * (bits + 1) >= 2**bits and tables * bits < 64 and _one_row_per_id(kept):
+        sides = F.aggregate(buckets("embedding"), F.lit(0).cast("long"), lambda all_, b: F.shiftleft(all_, bits) + b)
+        packed = B.panels(kept.withColumn("code", sides), size, max(1, min(block_bytes, size.bytes // B.LEAST_PANELS)))
+        schema = _schema(rows)
+        partial = B.meet(packed, packed, size, lambda panel: _gather(panel, k, schema.names, Adjoining(tables, bits)), schema)
+        return _ranked(partial.unionByName(settled), k)
     coded = kept.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table", "bucket"))
     counts = coded.groupBy("table", "bucket").agg(
         F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blocks")
@@ -162,6 +171,28 @@ def knn_graph_lsh(
     return _ranked(once.unionByName(settled), k)
 
 
+def _one_row_per_id(rows: DataFrame) -> bool:
+    """Of a repeated id several rows may be neighbours of one row, which then has fewer different ones among k."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    return found.n == found.ids
+
+
+@dataclass(frozen=True)
+class Adjoining:
+    """Whether two rows lie in the same or in adjoining buckets of some table, by all their buckets in one number."""
+
+    tables: int
+    bits: int
+
+    def __call__(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        apart, bucket = one ^ other, np.int64((1 << self.bits) - 1)
+        met = np.zeros(apart.shape, bool)
+        for table in range(self.tables):
+            planes = (apart >> np.int64(table * self.bits)) & bucket
+            met |= planes & (planes - 1) == 0  # one plane or none
+        return met
+
+
 def _schema(rows: DataFrame) -> T.StructType:
     kind = rows.schema["id"].dataType
     return T.StructType(
@@ -180,11 +211,12 @@ class Nearest:
     squared lengths. Every row that could be among the k best within its own error is
     measured exactly, and the exact distances decide; ids break ties. ``bound`` is a squared
     distance that k rows met so far do not exceed, so most pairs cost no more than their
-    product; products are taken in tiles that stay in a core's cache.
+    product; products are taken in tiles that stay in a core's cache. With ``codes``, only rows
+    count whose code is one that ``allowed`` lets meet it.
     """
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
-        self.ids, self.matrix, self.k = ids, matrix, k
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, codes: np.ndarray | None = None, allowed: Adjoining | None = None):
+        self.ids, self.matrix, self.k, self.codes, self.allowed = ids, matrix, k, codes, allowed
         self.squares = (matrix**2).sum(axis=1)
         self.left = np.hstack([-2.0 * matrix, np.ones((len(ids), 1))])
         self.bound = np.full(len(ids), np.inf)
@@ -193,7 +225,7 @@ class Nearest:
         self.waiting: list[tuple] = []
         self.n_waiting = 0
 
-    def meet(self, other_ids: np.ndarray, other: np.ndarray) -> None:
+    def meet(self, other_ids: np.ndarray, other: np.ndarray, other_codes: np.ndarray | None = None) -> None:
         squares = (other**2).sum(axis=1)
         right = np.hstack([other, (1 - NOISE) * squares[:, None]])
         for lo in range(0, len(other_ids), TILE_COLUMNS):
@@ -206,10 +238,16 @@ class Nearest:
                 if least.shape[1] > self.k and np.isinf(self.bound[rows]).any():
                     most = least + own[:, None] + 2 * NOISE * (self.squares[rows, None] + squares[columns])
                     most[self.ids[rows, None] == other_ids[columns]] = np.inf
+                    if self.allowed:
+                        most[~self.allowed(self.codes[rows, None], other_codes[None, columns])] = np.inf
                     self.bound[rows] = np.fmin(self.bound[rows], np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
                 at = np.flatnonzero(least <= (self.bound[rows] - own)[:, None])
                 at = at[np.isfinite(least.ravel()[at])]
-                self._measure(at // least.shape[1] + start, at % least.shape[1] + lo, other_ids, other)
+                r, c = at // least.shape[1] + start, at % least.shape[1] + lo
+                if self.allowed:
+                    met = self.allowed(self.codes[r], other_codes[c])
+                    r, c = r[met], c[met]
+                self._measure(r, c, other_ids, other)
             if self.n_waiting > len(self.ids) * self.k:
                 self._settle()
 
@@ -248,11 +286,11 @@ def _nearest(ids, matrix, other_ids, other, k) -> list[np.ndarray]:
     return near.found()
 
 
-def _gather(panel: B.Panel, k: int, names: list[str]):
-    near = Nearest(panel.ids, panel.matrix, k)
+def _gather(panel: B.Panel, k: int, names: list[str], allowed: Adjoining | None = None):
+    near = Nearest(panel.ids, panel.matrix, k, panel.codes, allowed)
 
     def add(other: B.Panel) -> None:
-        near.meet(other.ids, other.matrix)
+        near.meet(other.ids, other.matrix, other.codes)
 
     def end() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in near.found()], names)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from planview import plan_of
 from lexivane.functions.vectors import vec_cosine, vec_dot, vec_norm, vec_sqdist
+from lexivane.operators import neighbors
 from lexivane.operators.neighbors import collapse_copies, knn_graph, knn_graph_lsh
 from lexivane.operators.search import describe, response, search, search_batch
 
@@ -144,6 +145,24 @@ def test_knn_lsh_recall_of_the_registered_query(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("options", [{"tables": 3, "bits": 3}, {"bits": 5}, {"tables": 12, "bits": 3, "block_bytes": 64 * 8 * 40}])
+def test_knn_lsh_looks_at_no_pair_twice(vectors, options, monkeypatch):
+    """Dense tables: panels instead of groups, and the neighbours of the tables."""
+    found = knn_graph_lsh(vectors, 5, **options)
+    assert "CartesianProduct" in plan_of(found) and "FlatMapGroupsInArrow" not in plan_of(found)
+    monkeypatch.setattr(neighbors, "_one_row_per_id", lambda rows: False)
+    tables = knn_graph_lsh(vectors, 5, **options)
+    assert "FlatMapGroupsInArrow" in plan_of(tables)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in tables.collect()}
+
+
+def test_knn_lsh_of_repeated_ids_and_of_sparse_tables_goes_by_groups(spark, vectors):
+    twice = knn_graph_lsh(vectors.unionByName(vectors.filter("id < 3")), 5, bits=3)
+    sparse = knn_graph_lsh(vectors, 5, bits=7)
+    assert all("FlatMapGroupsInArrow" in plan_of(found) for found in (twice, sparse))
+    assert knn_graph_lsh(vectors.limit(0), 5, bits=3).count() == 0
+
+
 def test_unequal_dimensions_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>")
     with pytest.raises(ValueError):
