@@ -23,11 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexivane.operators import blocks as B
-from lexivane.operators.search import MIN_SCORE, TOP_K, _best_of, _unit
+from lexivane.operators.search import MIN_SCORE, TOP_K, Best, _unit
 from lexivane.session import cut
 
 MAX_CELLS = 4096  # centres are broadcast
 SAMPLE_ROWS = 50_000  # vectors, drawn by a hash of the id, on which centres are fitted
+LEAST_QUERIES = 256  # of a panel
 SLACK = 1e-6  # on bounds, for the rounding of angles
 
 
@@ -111,68 +112,85 @@ def search_cells(
     size = B.extent_of(asked)
     if about and size.rows and len(about[0].centre) != size.dim:
         raise ValueError(f"vectors of {len(about[0].centre)} components cannot be compared with queries of {size.dim}")
-    n_blocks = size.blocks(block_bytes)
-    asked = asked.withColumn("q_block", B.block_id("query_id", n_blocks))
     cells = np.array([r.cell for r in about], np.int32)
     centres = np.array([r.centre for r in about]) if about else np.zeros((0, size.dim))
     radii = np.arccos(np.clip([r.cosine for r in about], -1, 1))
     shared = spark.sparkContext.broadcast((cells, centres, radii))
     kind = asked.schema["query_id"].dataType.simpleString()
 
-    def bounds(batches):
+    def visits(matrix: np.ndarray, need: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which cells (columns) a query (row) must visit."""
         cells, centres, radii = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(cells):
-                continue
-            near = np.arccos(np.clip(_unit(B.as_matrix(batch.column("embedding"))) @ centres.T, -1, 1))
+        unit, chosen = _unit(matrix), np.zeros((len(matrix), len(cells)), bool)
+        for rows in B.tiles(len(matrix), 8 * len(cells)):
+            near = np.arccos(np.clip(unit[rows] @ centres.T, -1, 1))
             bound = np.cos(np.maximum(0, near - radii)) + SLACK
-            need = batch.column("need").to_numpy(zero_copy_only=False)
-            first = batch.column("first").to_numpy(zero_copy_only=False)
-            best = near.argmin(axis=1)
             # first round: the nearest centre's cell; then all others that may hold a result
-            chosen = np.where((first < 0)[:, None], np.arange(len(cells)) == best[:, None], cells != first[:, None])
-            row, col = np.nonzero(chosen & (bound > need[:, None]))
-            picked = batch.take(pa.array(row))
-            columns = [picked.column(c) for c in ("query_id", "embedding", "q_block", "need")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells[col])], ["query_id", "embedding", "q_block", "need", "cell"])
-
-    def visits(waiting: DataFrame) -> DataFrame:
-        return cut(waiting.select("query_id", "embedding", "q_block", "need", "first").mapInArrow(bounds, f"query_id {kind}, embedding array<double>, q_block int, need double, cell int"))
-
-    def compare(pairs: DataFrame) -> tuple[DataFrame, set[int]]:
-        wanted = {r.cell for r in pairs.select("cell").distinct().collect()}
+            nearest = np.arange(len(cells)) == near.argmin(axis=1)[:, None]
+            there = np.where((first[rows] < 0)[:, None], nearest, cells != first[rows, None])
+            chosen[rows] = there & (bound > need[rows, None])
+        return chosen
+
+    def listed(waiting: DataFrame, each: bool) -> DataFrame:
+        """The cells to visit, of each query or once per batch."""
+
+        def list_cells(batches):
+            cells = shared.value[0]
+            for batch in batches:
+                if batch.num_rows and len(cells):
+                    numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("need", "first"))
+                    row, col = np.nonzero(visits(B.as_matrix(batch.column("embedding")), *numbers))
+                    if not each:
+                        col = np.unique(col)
+                        row = np.zeros(len(col), np.int64)
+                    ids = batch.column("query_id").take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(cells[col])], ["query_id", "cell"])
+
+        return waiting.select("query_id", "embedding", "need", "first").mapInArrow(list_cells, f"query_id {kind}, cell int")
+
+    def compare(waiting: DataFrame) -> tuple[DataFrame, set[int]]:
+        """Panels of queries meet panels of the stored rows; no query is sent to each of its cells."""
+        waiting = cut(waiting)
+        wanted = {r.cell for r in listed(waiting, False).select("cell").distinct().collect()}
         stored = spark.read.schema(f"id {id_kind}, embedding array<double>, part int, cell int").parquet(f"{path}/rows").where(F.col("cell").isin(sorted(wanted)))  # other cells are not read
-        parts = F.broadcast(spark.createDataFrame([(r.cell, r.parts) for r in about], "cell int, parts int"))  # MAX_CELLS at most
-        sent = pairs.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        blocks = sent.select(*(F.col(c).alias(c) for c in ("cell", "part", "q_block"))).distinct()
-        rows = stored.join(blocks, ["cell", "part"])
-        keys = ["cell", "part", "q_block"]
+        extent = B.Extent(sum(r.n for r in about if r.cell in wanted), size.dim)
         schema = f"query_id {kind}, id {id_kind}, similarity_score double"
-
-        def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
-            found = _best_of(
-                queries["query_id"].to_numpy(), _unit(B.as_matrix(queries["embedding"])), rows["id"].to_numpy(),
-                _unit(B.as_matrix(rows["embedding"])), top_k, min_score,
-            ) if queries.num_rows and rows.num_rows else {}
-            if found:  # what cannot be among the best of its query any more stays here
-                ids = queries["query_id"].to_numpy()
-                order = np.argsort(ids)
-                need = queries["need"].to_numpy()[order[np.searchsorted(ids, found["query_id"], sorter=order)]]
-                found = {name: column[found["similarity_score"] >= need] for name, column in found.items()}
-            columns = ("query_id", "id", "similarity_score")
-            return pa.table([found.get(c, queries["query_id"].to_numpy()[:0] if c != "similarity_score" else np.empty(0)) for c in columns], names=columns)
-
-        return cut(sent.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda q, r: best(q, r), schema)), wanted
-
-    opening, seen = compare(visits(asked.withColumn("need", F.lit(float(min_score))).withColumn("first", F.lit(-1))))
+        # need and first travel as two further components
+        numbered = F.concat("embedding", F.array(F.col("need"), F.col("first").cast("double")))
+        panel_bytes = max(8 * (size.dim + 2) * LEAST_QUERIES, min(block_bytes, size.bytes // B.LEAST_PANELS))
+        queries = B.panels(waiting.select(F.col("query_id").alias("id"), numbered.alias("embedding")), size, panel_bytes)
+        rows = B.panels(stored.select("id", "embedding", F.col("cell").cast("long").alias("code")), extent, block_bytes, in_place=True)
+
+        def begin(panel: B.Panel):
+            matrix, need, first = panel.matrix[:, :-2], panel.matrix[:, -2], panel.matrix[:, -1]
+            chosen, best = visits(matrix, need, first), Best(panel.ids, _unit(matrix), top_k, min_score)
+
+            def add(other: B.Panel) -> None:
+                unit = _unit(other.matrix)
+                for cell in np.unique(other.codes):
+                    asking, here = np.flatnonzero(chosen[:, np.searchsorted(shared.value[0], cell)]), other.codes == cell
+                    if len(asking):
+                        best.meet(other.ids[here], unit[here], asking)
+
+            def end() -> pa.RecordBatch:
+                found = best.found()
+                # what cannot be among the best of its query any more stays here
+                good = found["similarity_score"] >= need[best.row]
+                return pa.RecordBatch.from_pydict({name: column[good] for name, column in found.items()})
+
+            return add, end
+
+        return cut(B.meet(queries, rows, extent, begin, schema)), wanted
+
+    opening, seen = compare(asked.withColumn("need", F.lit(float(min_score))).withColumn("first", F.lit(-1)))
     order = W.partitionBy("query_id").orderBy(F.desc("similarity_score"), "id")
     ranked = opening.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     # a cell must be able to beat or, as ids break ties, to equal the worst place of a full list
     reached = ranked.filter(F.col("rank") == top_k).select("query_id", (F.col("similarity_score") - 2 * SLACK).alias("reached"))
-    started = visits(asked.withColumn("need", F.lit(-2.0)).withColumn("first", F.lit(-1))).select("query_id", F.col("cell").alias("first"))
+    started = cut(listed(asked.withColumn("need", F.lit(-2.0)).withColumn("first", F.lit(-1)), True)).select("query_id", F.col("cell").alias("first"))
     waiting = asked.join(started, "query_id").join(reached, "query_id", "left")
     need = F.greatest(F.lit(float(min_score)), F.coalesce("reached", F.lit(float(min_score))))
-    others, more = compare(visits(waiting.withColumn("need", need)))
+    others, more = compare(waiting.withColumn("need", need).select("query_id", "embedding", "need", "first"))
     hits = opening.unionByName(others).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     read = seen | more
     return CellSearch(

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexivane.operators import panels
+from lexivane.operators import cells as cells_module
 from lexivane.operators.cells import build_cells, search_cells
 from lexivane.operators.descent import descend
 from lexivane.operators.estimate import silhouette_interval
@@ -107,6 +108,20 @@ def test_cells_give_the_same_hits(spark, tmp_path, options):
         search_cells(spark, str(tmp_path / "cells"), spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"))
 
 
+def test_cells_send_no_query_to_each_cell(spark, tmp_path, monkeypatch):
+    """Without structure every query visits every cell; what is kept in between does not follow that."""
+    x = np.random.default_rng(4).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = df.select(F.col("id").alias("query_id"), "embedding")
+    build_cells(df, str(tmp_path / "cells"), n_cells=15)
+    kept, cut = [], cells_module.cut
+    monkeypatch.setattr(cells_module, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    found = search_cells(spark, str(tmp_path / "cells"), asked, 2, -1.0)
+    assert found.cells_read == found.cells > 10
+    assert max(df.count() for df in kept) <= 2 * 300
+    assert hits(found.hits) == hits(search_batch(df, asked, 2, -1.0))
+
+
 def test_cells_of_nothing(spark, tmp_path):
     df, _ = clustered(spark, 5, groups=2)
     build_cells(df.limit(0), str(tmp_path / "none"))
