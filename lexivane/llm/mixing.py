@@ -12,9 +12,11 @@ table of how often the decision went either way in all training texts. Their log
 * refined: a map from (gate, mixed log-odds) to log-odds as observed, followed between its nodes.
 
 The probabilities of all decisions multiply to the text's, so that the sum of their logarithms
-is a true code length (bits per byte of the text). Gate weights and map are learned online from a
-bounded sample of training texts whose counts are kept apart while learning and added after it, so
-that the tables cover every training text and weights are never learned on a text's own counts.
+is a true code length (bits per byte of the text). Gate weights and map are learned from every
+training text: the texts are dealt to two sides by a hash, each side meets the tables of the other,
+so that weights are never learned on a text's own counts (nor on those of its copies), and Spark
+adds up how often which levels of log-odds met which outcome. That table has a fixed size; weights
+and map are fitted to it. The scores are then given with the tables of both sides added up.
 
 A score depends on the text and the training texts alone, not on the layout of the table. NULL
 and empty texts are one end. A NULL id is not held out. Rows that repeat are scored row by row.
@@ -42,11 +44,14 @@ from lexivane.session import scratch_path
 TABLE_BITS = 20  # slots of each hashed context, as a power of two: memory, not a limit of the data
 CHUNK = 2048  # bytes of a text after which its own weights change
 PIECE = 1 << 15  # bytes expanded together while counting
+COUNT_BYTES = 1 << 18  # text whose contexts are hashed together while counting
+HELD = 1 << 20  # symbols held until they are added to the tables
+FULL = 1 << 26  # symbols after which a task sends its tables on, so that 32 bits hold their counts
 LANE_BYTES = 1 << 17  # text scored side by side; a longer text alone
-SAMPLE_BYTES = 4_000_000  # training text, in expectation, from which weights and map are learned
-SAMPLE_TEXTS = 4_000  # and at most this many distinct texts
-SAMPLE_LONGEST = 65_536  # of at most this many bytes each
-ROUNDS = 3
+LEVEL_EDGES = (0.4, 0.8, 1.3, 1.9, 2.7, 3.8, 5.3)  # of log-odds, either sign; zero is a level of its own
+LEVELS = 2 * len(LEVEL_EDGES) + 3
+STEPS = 12  # of Newton's method, at most
+PULL = 50  # decisions by which weights and map are held at their start
 ODDS_SCALE = 15  # steps of stored log-odds per unit
 PRIOR = 0.4  # added to both counts of a slot
 RATE = 2.0  # of the text's own weights
@@ -181,6 +186,12 @@ def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values.take(at, mode="wrap")
 
 
+def _keep_arrays() -> None:
+    """The C library maps and unmaps every array above a threshold, page by page, until a larger
+    one was freed (up to 32 MiB): so one is, untouched. It saves a third of the time of scoring."""
+    np.empty(31 << 20, np.uint8)
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint32(16)
     x *= np.uint32(0x7FEB352D)
@@ -202,45 +213,63 @@ def marks(step: np.ndarray) -> np.ndarray:
 
 def decisions(code: Code, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each step of the paths: which symbol it belongs to, and the step."""
-    entry = _take(code.tree_of, context) * 257 + symbol
+    return paths(code, entries(code, symbol, context))
+
+
+def entries(code: Code, symbol: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Number of each symbol's path."""
+    return _take(code.tree_of, context) * 257 + symbol
+
+
+def paths(code: Code, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each step of the paths: which of them it belongs to, and the step."""
     length = _take(code.length, entry)
     ends = np.cumsum(length)
-    of = np.repeat(np.arange(len(symbol)), length)
+    of = np.repeat(np.arange(len(entry)), length)
     path = _take(_take(code.start, entry) - (ends - length), of)
     path += np.arange(len(of))
     return of, _take(code.step, path)
 
 
 class Tally:
-    """Outcomes of decisions by slot of each hashed context."""
+    """Outcomes of decisions by slot of each hashed context. Symbols that share context and path
+    are counted before their decisions are looked at."""
 
     def __init__(self, code: Code, bits: int):
         self.code, self.bits = code, bits
-        self.tables = empty_tables(bits)
-        self.held: list[list[np.ndarray]] = [[] for _ in range(HASHED)]
-        self.size = 0
+        self.tables = [np.zeros(2 << bits, np.uint32) for _ in range(HASHED)]
+        self.held = np.empty((HASHED, HELD), np.uint64)  # line of the context, and path
+        self.size = self.seen = 0
 
     def add(self, symbols: Symbols) -> None:
-        for lo in range(0, len(symbols.symbol), PIECE):
-            part = slice(lo, lo + PIECE)
-            of, step = decisions(self.code, symbols.symbol[part], symbols.context[part])
-            bit, mark = step & 1, marks(step)
-            for k, h in enumerate(symbols.hashes):
-                slot = _take(h[part] >> np.uint32(32 - self.bits), of)
-                slot ^= mark
-                slot <<= np.uint32(1)
-                slot |= bit
-                self.held[k].append(slot)
-            self.size += len(of)
-            if self.size > 1 << 22:
+        n = len(symbols.symbol)
+        for lo in range(0, n, PIECE):
+            part = slice(lo, min(lo + PIECE, n))
+            entry = entries(self.code, symbols.symbol[part], symbols.context[part]).view(np.uint64)
+            if self.size + len(entry) > HELD:
                 self.settle()
+            for held, h in zip(self.held, symbols.hashes):
+                key = (h[part] >> np.uint32(32 - self.bits)).astype(np.uint64)
+                key <<= np.uint64(32)
+                key |= entry
+                held[self.size : self.size + len(entry)] = key
+            self.size += len(entry)
+        self.seen += n
 
     def settle(self) -> None:
-        for table, some in zip(self.tables, self.held):
-            if some:
-                slots = np.concatenate(some).view(np.int32)
-                some.clear()
-                table += np.bincount(slots, minlength=len(table))
+        for table, held in zip(self.tables, self.held):
+            keys = np.sort(held[: self.size])
+            last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if self.size else np.zeros(0, np.int64)
+            times, keys = np.diff(last, prepend=-1), keys[last]
+            for lo in range(0, len(keys), HELD // 4):
+                some = keys[lo : lo + HELD // 4]
+                of, step = paths(self.code, (some & np.uint64(0xFFFFFFFF)).view(np.int64))
+                slot = _take((some >> np.uint64(32)).view(np.int64), of)
+                slot ^= marks(step)
+                slot <<= 1
+                slot |= step & np.uint32(1)
+                counts = np.bincount(slot, _take(times[lo : lo + HELD // 4], of), len(table))
+                np.add(table, counts, out=table, casting="unsafe")
         self.size = 0
 
 
@@ -318,7 +347,7 @@ def _inputs(model: Model, symbols: Symbols, places: np.ndarray) -> tuple[np.ndar
     mark = marks(step)
     gate = (step >> np.uint32(1)).astype(np.int8) & np.int8(3)
     for k, h in enumerate(symbols.hashes):
-        slot = _take(_take(h, places) >> np.uint32(32 - model.bits), of)
+        slot = _take((_take(h, places) >> np.uint32(32 - model.bits)).astype(np.int64), of)
         slot ^= mark
         odds = _take(model.odds[k + 1], slot)
         x[k + 1] = odds
@@ -350,16 +379,20 @@ def score_block(model: Model, block: Block, fine: np.ndarray | None = None) -> n
     for s, n in lanes.steps:
         active = len(s)
         x, gate, outcome, of = _inputs(model, symbols, lanes.places(s, n))
-        lane = _take(np.repeat(np.arange(active, dtype=np.int32), n), of)
+        lane = _take(np.repeat(np.arange(active), n), of)
         first = np.searchsorted(lane, np.arange(active))  # first decision of each lane
         weights = ((own[:, :active, None] + model.weights.T[:, None, :]) * scale).reshape(INPUTS, -1)
-        z = _mixed(weights, x, lane * np.int32(_GATES) + gate)
+        lane *= _GATES
+        lane += gate
+        z = _mixed(weights, x, lane)
         place = np.clip(z, -8, 8)
         place += 8
         place *= np.float32((_FINE - 1) / 16)
         place += np.float32(0.5)
         z *= np.float32(0.5)
-        z += _take(fine, place.astype(np.int32) + gate.astype(np.int32) * np.int32(_FINE))
+        at = place.astype(np.int64)
+        at += _take(np.arange(_GATES) * _FINE, gate)
+        z += _take(fine, at)
         z *= outcome
         np.negative(z, out=z)
         against = np.exp(z, out=z)  # odds against what happened
@@ -376,35 +409,102 @@ def score_block(model: Model, block: Block, fine: np.ndarray | None = None) -> n
     return out
 
 
-def learn(model: Model, some: list[Block], rounds: int = ROUNDS) -> None:
-    """Follow the errors over the texts, step by step: gate weights by damped Newton steps along
-    each input, the map's nodes by moving averages of what happened near them."""
-    rate, size = 0.5, _GATES * _NODES
-    for _ in range(rounds):
-        for block in some:
-            symbols, lanes = Symbols(block), Lanes(block)
-            for s, n in lanes.steps:
-                x, gate, outcome, _ = _inputs(model, symbols, lanes.places(s, n))
-                x *= np.float32(1 / ODDS_SCALE)
-                z = _mixed(model.weights.T, x, gate)
-                place = (np.clip(z, -7.999, 7.999) + 8) * np.float32((_NODES - 1) / 16)
-                low = place.astype(np.int32)
-                share = place - low
-                low += gate.astype(np.int32) * np.int32(_NODES)
-                mapped = model.refine.reshape(-1)
-                refined = (z + mapped[low] * (1 - share) + mapped[low + 1] * share) / 2
-                error = outcome / (1 + np.exp(z * outcome))
-                slope = np.abs(error) * (1 - np.abs(error))
-                for k in range(INPUTS):
-                    pull = np.bincount(gate, error * x[k], _GATES)
-                    bend = np.bincount(gate, slope * x[k] * x[k], _GATES)
-                    model.weights[:, k] += (rate / INPUTS * pull / (bend + 50)).astype(np.float32)
-                error = outcome / (1 + np.exp(refined * outcome))
-                slope = np.abs(error) * (1 - np.abs(error))
-                pull = np.bincount(low, error * (1 - share), size) + np.bincount(low + 1, error * share, size)
-                bend = np.bincount(low, slope * (1 - share), size) + np.bincount(low + 1, slope * share, size)
-                model.refine += (rate * pull / (bend + 50)).reshape(_GATES, _NODES).astype(np.float32)
-        rate /= 2
+# --- learning -------------------------------------------------------------------------
+
+
+def levels_of(odds: np.ndarray) -> np.ndarray:
+    """Level of each stored log-odds."""
+    values = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64) / ODDS_SCALE
+    level = np.sign(values) * (1 + np.searchsorted(LEVEL_EDGES, np.abs(values))) + LEVELS // 2
+    return level.astype(np.uint8)[odds.view(np.uint8)]
+
+
+def empty_meetings() -> np.ndarray:
+    """How often (how deep in the tree, outcome, level of each predictor) met, in whole cells."""
+    size = 2 * CELL
+    return np.zeros(-(-6 * LEVELS**INPUTS // size) * size, np.int64)
+
+
+def count_meetings(code: Code, levels: list[np.ndarray], bits: int, block: Block, into: np.ndarray) -> None:
+    """Add what the decisions of a block meet in tables of levels."""
+    symbols, held, size = Symbols(block), [], 0
+    for lo in range(0, len(symbols.symbol), PIECE):
+        part = slice(lo, lo + PIECE)
+        of, step = decisions(code, symbols.symbol[part], symbols.context[part])
+        mark = marks(step)
+        met = (step & np.uint32(7)).astype(np.int64)
+        met *= LEVELS
+        met += _take(levels[0], step >> np.uint32(3))
+        for h, level in zip(symbols.hashes, levels[1:]):
+            slot = _take((h[part] >> np.uint32(32 - bits)).astype(np.int64), of)
+            slot ^= mark
+            met *= LEVELS
+            met += _take(level, slot)
+        held.append(met)
+        size += len(met)
+        if size > len(into) or lo + PIECE >= len(symbols.symbol):
+            into += np.bincount(np.concatenate(held), minlength=len(into))
+            held, size = [], 0
+
+
+def fit(model: Model, met: np.ndarray, values: np.ndarray) -> None:
+    """Weights of each gate, then its map, under which the outcomes met are most likely;
+    ``values`` has the log-odds that stand for each predictor's levels."""
+    some = np.flatnonzero(met)
+    times, rest = met[some].astype(np.float64), some
+    x = np.empty((INPUTS, len(some)))
+    seen = np.zeros(len(some), np.int64)
+    for k in range(INPUTS - 1, -1, -1):
+        rest, level = np.divmod(rest, LEVELS)
+        x[k] = values[k, level]
+        if k:
+            seen += level != LEVELS // 2
+    gate, outcome = 3 * seen + (rest >> 1), (rest & 1) * 2.0 - 1
+    for g in np.unique(gate):
+        own = gate == g
+        inputs, n, y = x[:, own], times[own], outcome[own]
+        model.weights[g] = _newton(model.weights[g], inputs, 0.0, n, y)
+        z = model.weights[g] @ inputs
+        place = (np.clip(z, -7.999, 7.999) + 8) * ((_NODES - 1) / 16)
+        hats = np.maximum(1 - np.abs(place - np.arange(_NODES)[:, None]), 0) / 2
+        model.refine[g] = _newton(model.refine[g], hats, z / 2, n, y)
+
+
+def _newton(start: np.ndarray, inputs: np.ndarray, offset: np.ndarray | float, n: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    """Weights of the inputs that make ``n`` outcomes of each kind most likely, held at their start
+    as by ``PULL`` decisions; a step that raises the loss is halved."""
+
+    def loss(w: np.ndarray) -> float:
+        return float(n @ np.logaddexp(0, -outcome * (offset + w @ inputs)) + PULL / 2 * ((w - start) ** 2).sum())
+
+    start = start.astype(np.float64)
+    w, now = start, loss(start)
+    for _ in range(STEPS):
+        margin = outcome * (offset + w @ inputs)
+        error = 1 / (1 + np.exp(np.minimum(margin, 700)))
+        slope = inputs @ (n * outcome * error) - PULL * (w - start)
+        bend = (inputs * (n * error * (1 - error))) @ inputs.T + PULL * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        if then >= now:
+            break
+        w, now = w + step, then
+    return w
+
+
+def level_values(levels: np.ndarray, odds: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What stands for each level of a predictor: the mean of its log-odds, as often as they were met."""
+    n = np.bincount(levels, times, LEVELS)
+    return np.bincount(levels, times * (odds / ODDS_SCALE), LEVELS) / np.maximum(n, 1)
+
+
+def learn(model: Model, some: list[Block]) -> None:
+    """Weights and map from blocks that are not in the model's tables, or as if they were not."""
+    met, levels = empty_meetings(), [levels_of(o) for o in model.odds]
+    for block in some:
+        count_meetings(model.code, levels, model.bits, block, met)
+    fit(model, met, np.stack([level_values(a, o, np.ones(len(o))) for a, o in zip(levels, model.odds)]))
 
 
 # --- corpus ---------------------------------------------------------------------------
@@ -427,6 +527,7 @@ def _corpus_counts(docs: DataFrame) -> str:
     ``PART_BYTES`` of text, and each task's pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_arrays()
         pairs = np.zeros(CLASSES * 257 * 257, np.int64)
         for batch in batches:
             for part in _parts(batch.column(0), np.arange(batch.num_rows)):
@@ -446,23 +547,55 @@ def _corpus_counts(docs: DataFrame) -> str:
 
 
 def _count_decisions(spark: SparkSession, docs: DataFrame, code: Code, bits: int) -> str:
-    """Write the outcomes of all decisions, summed over all training texts, those of the sample
-    apart: one row per table, cell and side. A task sends the part of the
-    tables it touched; tasks that gather hold the cells dealt to them, one row at a time added."""
+    """Write the outcomes of all decisions, summed over all training texts, those of each side
+    apart: one row per table, cell and side. A task sends the part of the tables it touched."""
     shared = spark.sparkContext.broadcast(code)
 
+    def sent(side: bool, tally: Tally) -> Iterator[pa.RecordBatch]:
+        tally.settle()
+        for k, table in enumerate(tally.tables):
+            yield from _cells(k, side, table.astype(np.int64))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_arrays()
         tallies: dict[bool, Tally] = {}
         for batch in batches:
             for side in (False, True):
-                for block in blocks(batch.column(0).filter(pc.equal(batch.column(1), side))):
+                for block in blocks(batch.column(0).filter(pc.equal(batch.column(1), side)), COUNT_BYTES):
                     if side not in tallies:
                         tallies[side] = Tally(shared.value, bits)
                     tallies[side].add(Symbols(block))
+                    if tallies[side].seen > FULL:
+                        yield from sent(side, tallies.pop(side))
         for side, tally in tallies.items():
-            tally.settle()
-            for k, table in enumerate(tally.tables):
-                yield from _cells(k, side, table)
+            yield from sent(side, tally)
+
+    return _summed(spark, docs.select("text", "side").mapInArrow(work, _CELL_SCHEMA), "decisions")
+
+
+def _count_meetings(spark: SparkSession, docs: DataFrame, code: Code, levels: dict[bool, list[np.ndarray]], bits: int) -> str:
+    """Write what the decisions of all training texts meet in the levels dealt to their side."""
+    shared = spark.sparkContext.broadcast((code, levels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_arrays()
+        code, levels = shared.value
+        met = empty_meetings()
+        for batch in batches:
+            for side in (False, True):
+                for block in blocks(batch.column(0).filter(pc.equal(batch.column(1), side)), COUNT_BYTES):
+                    count_meetings(code, levels[side], bits, block, met)
+        yield from _cells(0, False, met)
+
+    return _summed(spark, docs.select("text", "side").mapInArrow(work, _CELL_SCHEMA), "meetings")
+
+
+_CELL_SCHEMA = "k int, side boolean, cell int, counts binary"
+
+
+def _summed(spark: SparkSession, parts: DataFrame, name: str) -> str:
+    """Write the sums of all tasks' cells; tasks that gather hold the cells dealt to them, one row
+    at a time added."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, bool, int], np.ndarray] = {}
@@ -472,10 +605,8 @@ def _count_decisions(spark: SparkSession, docs: DataFrame, code: Code, bits: int
         for (k, side, cell), sum_ in sums.items():
             yield from _cells(k, side, sum_, cell)
 
-    schema = "k int, side boolean, cell int, counts binary"
-    parts = docs.select("text", "picked").mapInArrow(work, schema)
-    path = scratch_path(spark, "decisions")
-    parts.repartition("k", "cell", "side").mapInArrow(gather, schema).write.parquet(path)
+    path = scratch_path(spark, name)
+    parts.repartition("k", "cell", "side").mapInArrow(gather, _CELL_SCHEMA).write.parquet(path)
     return path
 
 
@@ -507,27 +638,36 @@ def _cells(k: int, side: bool, table: np.ndarray, first: int = 0) -> Iterator[pa
         )
 
 
-def train(docs: DataFrame, pairs: np.ndarray, bits: int = TABLE_BITS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of the column ``text``, whose symbol pairs are counted: outcomes of every text,
-    weights and map from a sample."""
-    spark = docs.sparkSession
-    n_bytes, code = int(pairs.sum()), build_code(pairs)
-    share = min(0.25, sample_bytes / max(n_bytes, 1))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))
-    picked = F.coalesce(chosen & (F.octet_length("text") <= SAMPLE_LONGEST) & (F.octet_length("text") > 0), F.lit(False))
-    marked = docs.select("text", picked.alias("picked"))
-    path = _count_decisions(spark, marked, code, bits)
-    kept, added = empty_tables(bits), empty_tables(bits)
+def train(docs: DataFrame, pairs: np.ndarray, bits: int = TABLE_BITS) -> Model:
+    """A model of the column ``text``, whose symbol pairs are counted: outcomes, weights and map
+    of every text."""
+    spark, code = docs.sparkSession, build_code(pairs)
+    # Copies of a text are on one side.
+    dealt = docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 1).alias("side"))
+    path = _count_decisions(spark, dealt, code, bits)
+    tables = {False: empty_tables(bits), True: empty_tables(bits)}
     for k in range(HASHED):  # one table of a fixed size at a time
         rows = spark.read.parquet(path).where(F.col("k") == k).select("side", "cell", "counts").toArrow()
         for side, cell, counts in zip(*(c.to_pylist() for c in rows.columns)):
-            _unpack(counts, (added if side else kept)[k][cell * 2 * CELL : (cell + 1) * 2 * CELL])
-    texts = marked.where("picked").select("text", F.xxhash64("text", F.lit(1)).alias("h")).distinct().orderBy("h", "text").limit(SAMPLE_TEXTS).toArrow()
+            _unpack(counts, tables[side][k][cell * 2 * CELL : (cell + 1) * 2 * CELL])
+    taken = by_decision(code, pairs)
+    plain = log_odds(taken)
+    plain_levels = levels_of(plain)
     weights, refine = start_weights()
-    plain = log_odds(by_decision(code, pairs))
-    model = Model(code, [plain, *map(log_odds, kept)], bits, weights, refine)
-    learn(model, list(blocks(texts.column("text"), LANE_BYTES)))
-    model.odds = [plain, *(log_odds(a + b) for a, b in zip(kept, added))]
+    model, values = Model(code, [plain], bits, weights, refine), [level_values(plain_levels, plain, taken[0::2] + taken[1::2])]
+    levels = {False: [plain_levels], True: [plain_levels]}
+    for k in range(HASHED):
+        halves = {side: log_odds(tables[side][k]) for side in levels}
+        for side in levels:  # a side meets the tables of the other
+            levels[side].append(levels_of(halves[not side]))
+        other = np.concatenate([tables[not side][k][0::2] + tables[not side][k][1::2] for side in levels])
+        values.append(level_values(np.concatenate([levels[side][-1] for side in levels]), np.concatenate([halves[not side] for side in levels]), other))
+        model.odds.append(log_odds(tables[False][k] + tables[True][k]))
+    rows = spark.read.parquet(_count_meetings(spark, dealt, code, levels, bits)).select("cell", "counts").toArrow()  # of a fixed size
+    met = empty_meetings()
+    for cell, counts in zip(*(c.to_pylist() for c in rows.columns)):
+        _unpack(counts, met[cell * 2 * CELL : (cell + 1) * 2 * CELL])
+    fit(model, met, np.stack(values))
     return model
 
 
@@ -602,6 +742,7 @@ def _base(texts: pa.Array, known: dict[str, float]) -> tuple[np.ndarray, np.ndar
 
 def _score_batches(batches: Iterator[pa.RecordBatch], shared, any_end: bool) -> Iterator[pa.RecordBatch]:
     """Texts of like lengths are scored side by side, so that few steps have few lanes."""
+    _keep_arrays()
     model, known, end_log, log_all = shared.value
     fine = model.fine_map()
     for batch in batches:

@@ -165,6 +165,104 @@ def test_model_is_the_plain_one():
     assert got == pytest.approx(plain_scores(asked, code, counts, model.weights.tolist(), model.refine.tolist()), rel=1e-3)  # the map is read at spaced places
 
 
+def test_weights_are_learned_from_every_text(spark, monkeypatch):
+    """Each text meets the tables of the texts on the other side."""
+    texts = prose(120, 3) + ["", "the of " * 150, "x", "copy of a text", "copy of a text"]
+    learned = []
+    fit = mixing.fit
+    monkeypatch.setattr(mixing, "fit", lambda model, met, values: (learned.append((met, values)), fit(model, met, values)))
+    pairs = np.zeros(mixing.CLASSES * 257 * 257, np.int64)
+    for b in blocks(pa.array(texts)):
+        symbol, context, _ = mixing.Symbols.plain(b)
+        pairs += np.bincount(context * 257 + symbol, minlength=len(pairs))
+    df = table(spark, texts).select("text")
+    model = mixing.train(df.repartition(4), pairs.reshape(-1, 257))
+    side = dict(df.select("text", F.pmod(F.xxhash64("text"), F.lit(2))).collect())
+    tallies = [mixing.Tally(model.code, mixing.TABLE_BITS) for _ in range(2)]
+    for t in texts:
+        for b in blocks(pa.array([t])):
+            tallies[side[t]].add(mixing.Symbols(b))
+    for tally in tallies:
+        tally.settle()
+    odds = [[model.odds[0], *map(mixing.log_odds, tally.tables)] for tally in tallies]
+    expected = Counter()
+    for t in texts:
+        for context, step in plain_steps(t, model.code):
+            at = step & 7
+            for k, c in enumerate(context):
+                value = int(odds[1 - side[t]][k][slot_of(k, c, step >> 3)]) / mixing.ODDS_SCALE
+                size = sum(abs(value) > e for e in mixing.LEVEL_EDGES) + 1 if value else 0
+                at = at * mixing.LEVELS + mixing.LEVELS // 2 + (size if value > 0 else -size)
+            expected[at] += 1
+    ((met, values),) = learned
+    assert {int(i): int(met[i]) for i in np.flatnonzero(met)} == expected
+    assert np.abs(values).max() <= 8
+    for a, b, c in zip(model.odds[1:], tallies[0].tables, tallies[1].tables):
+        assert (a == mixing.log_odds(b.astype(np.int64) + c)).all()
+
+
+def test_fitted_weights_and_map_are_the_most_likely_ones():
+    """No small change of a weight or of a node of the map makes the outcomes more likely."""
+    rng = np.random.default_rng(8)
+    met, values = mixing.empty_meetings(), np.sort(rng.normal(0, 2, (mixing.INPUTS, mixing.LEVELS)), axis=1)
+    values[1:, mixing.LEVELS // 2] = 0
+    met[rng.integers(0, 6 * mixing.LEVELS**mixing.INPUTS, 4000)] = rng.integers(1, 3000, 4000)
+    model = mixing.Model(None, [], mixing.TABLE_BITS, *mixing.start_weights())
+    start = mixing.Model(None, [], mixing.TABLE_BITS, *mixing.start_weights())
+    mixing.fit(model, met, values)
+    some = np.flatnonzero(met)
+    level = [some // mixing.LEVELS ** (mixing.INPUTS - 1 - k) % mixing.LEVELS for k in range(mixing.INPUTS)]
+    x = np.stack([values[k][level[k]] for k in range(mixing.INPUTS)])
+    first = some // mixing.LEVELS**mixing.INPUTS
+    gate = 3 * sum((level[k] != mixing.LEVELS // 2).astype(int) for k in range(1, mixing.INPUTS)) + first // 2
+    y = first % 2 * 2 - 1
+    for g in range(12):
+        at = gate == g
+        if not at.any():
+            continue
+
+        def loss(w, m):
+            z = w @ x[:, at]
+            straight = np.logaddexp(0, -y[at] * z) @ met[some[at]] + mixing.PULL / 2 * ((w - start.weights[g]) ** 2).sum()
+            mapped = np.interp(np.clip(model.weights[g] @ x[:, at], -7.999, 7.999), np.linspace(-8, 8, 33), m)
+            refined = (model.weights[g] @ x[:, at] + mapped) / 2
+            return straight, np.logaddexp(0, -y[at] * refined) @ met[some[at]] + mixing.PULL / 2 * ((m - start.refine[g]) ** 2).sum()
+
+        w, m = model.weights[g].astype(float), model.refine[g].astype(float)
+        best = loss(w, m)
+        for d in (-0.02, 0.02):
+            assert all(loss(w + d * e, m)[0] > best[0] for e in np.eye(mixing.INPUTS))
+            assert all(loss(w, m + 5 * d * e)[1] > best[1] - 1e-6 * best[1] for e in np.eye(33))
+
+
+def test_counts_held_are_few_and_all_added(monkeypatch):
+    """A task's tables and what it holds before adding take 50 MB, however much text it counts."""
+    pairs = np.zeros(mixing.CLASSES * 257 * 257, np.int64)
+    some = list(blocks(pa.array(prose(100, 6) + ["ab" * 5000]), 1 << 14))
+    for b in some:
+        symbol, context, _ = mixing.Symbols.plain(b)
+        pairs += np.bincount(context * 257 + symbol, minlength=len(pairs))
+    code = mixing.build_code(pairs.reshape(-1, 257))
+    whole = mixing.Tally(code, mixing.TABLE_BITS)
+    assert sum(t.nbytes for t in whole.tables) + whole.held.nbytes < 50 << 20
+    monkeypatch.setattr(mixing, "HELD", 2048)
+    monkeypatch.setattr(mixing, "PIECE", 1024)
+    often = mixing.Tally(code, mixing.TABLE_BITS)
+    for b in some:
+        for tally in (whole, often):
+            tally.add(mixing.Symbols(b))
+    expected = np.zeros((mixing.HASHED, 2 << mixing.TABLE_BITS), np.int64)
+    for b in some:
+        symbols = mixing.Symbols(b)
+        of, step = mixing.decisions(code, symbols.symbol, symbols.context)
+        for k, h in enumerate(symbols.hashes):
+            slot = ((h >> np.uint32(32 - mixing.TABLE_BITS))[of] ^ mixing.marks(step)).astype(np.int64)
+            np.add.at(expected[k], 2 * slot + (step & 1), 1)
+    for tally in (whole, often):
+        tally.settle()
+        assert all((t == e).all() for t, e in zip(tally.tables, expected))
+
+
 def test_paths_of_a_tree_are_a_code():
     counts = np.random.default_rng(0).integers(0, 50, (mixing.CLASSES * 257, 257))
     counts[300:900] = 0  # contexts that never occur
