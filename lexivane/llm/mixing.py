@@ -45,7 +45,7 @@ TABLE_BITS = 20  # slots of each hashed context, as a power of two: memory, not
 CHUNK = 2048  # bytes of a text after which its own weights change
 PIECE = 1 << 15  # bytes expanded together while counting
 COUNT_BYTES = 1 << 18  # text whose contexts are hashed together while counting
-HELD = 1 << 20  # symbols held until they are added to the tables
+HELD = 1 << 19  # symbols held until they are added to the tables
 FULL = 1 << 26  # symbols after which a task sends its tables on, so that 32 bits hold their counts
 LANE_BYTES = 1 << 17  # text scored side by side; a longer text alone
 LEVEL_EDGES = (0.4, 0.8, 1.3, 1.9, 2.7, 3.8, 5.3)  # of log-odds, either sign; zero is a level of its own
@@ -261,15 +261,17 @@ class Tally:
             keys = np.sort(held[: self.size])
             last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if self.size else np.zeros(0, np.int64)
             times, keys = np.diff(last, prepend=-1), keys[last]
-            for lo in range(0, len(keys), HELD // 4):
-                some = keys[lo : lo + HELD // 4]
+            for lo in range(0, len(keys), PIECE):
+                some = keys[lo : lo + PIECE]
+                line = (some >> np.uint64(32)).view(np.int64)
+                first, last = int(line[0]) & ~63, int(line[-1]) | 63  # all slots of the piece are between
                 of, step = paths(self.code, (some & np.uint64(0xFFFFFFFF)).view(np.int64))
-                slot = _take((some >> np.uint64(32)).view(np.int64), of)
+                slot = _take(line - first, of)
                 slot ^= marks(step)
                 slot <<= 1
                 slot |= step & np.uint32(1)
-                counts = np.bincount(slot, _take(times[lo : lo + HELD // 4], of), len(table))
-                np.add(table, counts, out=table, casting="unsafe")
+                part = table[2 * first : 2 * last + 2]
+                np.add(part, np.bincount(slot, _take(times[lo : lo + PIECE], of), len(part)), out=part, casting="unsafe")
         self.size = 0
 
 
@@ -554,7 +556,7 @@ def _count_decisions(spark: SparkSession, docs: DataFrame, code: Code, bits: int
     def sent(side: bool, tally: Tally) -> Iterator[pa.RecordBatch]:
         tally.settle()
         for k, table in enumerate(tally.tables):
-            yield from _cells(k, side, table.astype(np.int64))
+            yield from _cells(k, side, table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_arrays()
@@ -613,7 +615,7 @@ def _summed(spark: SparkSession, parts: DataFrame, name: str) -> str:
 def _pack(counts: np.ndarray) -> bytes:
     """Counts of a cell: a bit per place that is not zero, a byte for each of these, and in full
     those that do not fit in a byte."""
-    some = counts[counts > 0]
+    some = counts[counts > 0].astype(np.int64)
     return np.packbits(counts > 0).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes() + some[some >= 255].tobytes()
 
 
