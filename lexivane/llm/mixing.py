@@ -37,7 +37,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm.lookups import is_hot
 from lexivane.llm.ragged import Block, blocks
 from lexivane.session import scratch_path
 
@@ -55,7 +54,7 @@ PULL = 50  # decisions by which weights and map are held at their start
 ODDS_SCALE = 15  # steps of stored log-odds per unit
 PRIOR = 0.4  # added to both counts of a slot
 RATE = 2.0  # of the text's own weights
-HOT_WORDS = 1 << 20  # words with at least this share of all occurrences are looked up where the texts are,
+HOT_WORDS = 1 << 19  # so many of the most frequent words are looked up where the texts are,
 HOT_WORD_BYTES = 64  # if not longer than this; the others after a shuffle
 PART_BYTES = 1 << 23  # text whose words are counted together
 CELL = 1 << 12  # slots of one row of a shuffled table
@@ -153,9 +152,8 @@ class Symbols:
         white[block.ends] = True
         opens = np.flatnonzero(np.append(True, white[:-1])) if n else np.zeros(0, np.int64)
         sizes = np.diff(np.append(opens, n))
-        start = np.repeat(opens.astype(np.int32), sizes)
         place = np.arange(n, dtype=np.int32)
-        place -= start
+        place -= np.repeat(opens.astype(np.int32), sizes)
         place &= 63
         sums = np.zeros(n + 1, np.uint32)
         np.cumsum(_take(_VALUES, folded) * _take(_STEPS, place), out=sums[1:])
@@ -208,7 +206,7 @@ INPUTS = HASHED + 1
 def marks(step: np.ndarray) -> np.ndarray:
     """Which of the 64 neighbouring slots of its context a decision takes (turned by the
     context's hash): decisions of one symbol lie in one line of the processor's cache."""
-    return (step >> np.uint32(3)) * np.uint32(0x9E3779B1) >> np.uint32(26)
+    return ((step >> np.uint32(3)) * np.uint32(0x9E3779B1) >> np.uint32(26)).astype(np.int64)
 
 
 def decisions(code: Code, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +229,28 @@ def paths(code: Code, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, _take(code.step, path)
 
 
+def side_by_side(code: Code, entry: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The steps of all paths and, for each, the values (64 bits) of its path. Paths of one length
+    lie side by side, which saves looking up which path a step belongs to; their order is not kept."""
+    length = _take(code.length, entry).astype(np.uint8)
+    order = np.argsort(length, kind="stable")
+    sizes = np.bincount(length)
+    values = (_take(code.start, entry), *values)
+    spread = [np.empty(int(sizes @ np.arange(len(sizes))), np.int64) for _ in values]
+    for value, out in zip(values, spread):
+        value, first, lo = _take(value, order), 0, 0
+        for size in np.flatnonzero(sizes).tolist():
+            n = int(sizes[size])
+            out[lo : lo + size * n].reshape(size, n)[:] = value[first : first + n]
+            first, lo = first + n, lo + size * n
+    lo = 0
+    for size in np.flatnonzero(sizes).tolist():
+        n = int(sizes[size])
+        spread[0][lo : lo + size * n].reshape(size, n)[:] += np.arange(size)[:, None]
+        lo += size * n
+    return _take(code.step, spread[0]), *spread[1:]
+
+
 class Tally:
     """Outcomes of decisions by slot of each hashed context. Symbols that share context and path
     are counted before their decisions are looked at."""
@@ -249,10 +269,10 @@ class Tally:
             if self.size + len(entry) > HELD:
                 self.settle()
             for held, h in zip(self.held, symbols.hashes):
-                key = (h[part] >> np.uint32(32 - self.bits)).astype(np.uint64)
+                key = held[self.size : self.size + len(entry)]
+                key[:] = h[part] >> np.uint32(32 - self.bits)
                 key <<= np.uint64(32)
                 key |= entry
-                held[self.size : self.size + len(entry)] = key
             self.size += len(entry)
         self.seen += n
 
@@ -264,14 +284,11 @@ class Tally:
             for lo in range(0, len(keys), PIECE):
                 some = keys[lo : lo + PIECE]
                 line = (some >> np.uint64(32)).view(np.int64)
-                first, last = int(line[0]) & ~63, int(line[-1]) | 63  # all slots of the piece are between
-                of, step = paths(self.code, (some & np.uint64(0xFFFFFFFF)).view(np.int64))
-                slot = _take(line - first, of)
+                step, slot, n = side_by_side(self.code, (some & np.uint64(0xFFFFFFFF)).view(np.int64), line, times[lo : lo + PIECE])
                 slot ^= marks(step)
                 slot <<= 1
-                slot |= step & np.uint32(1)
-                part = table[2 * first : 2 * last + 2]
-                np.add(part, np.bincount(slot, _take(times[lo : lo + PIECE], of), len(part)), out=part, casting="unsafe")
+                slot |= (step & np.uint32(1)).astype(np.int64)
+                np.add.at(table, slot, n.astype(np.uint32))
         self.size = 0
 
 
@@ -381,10 +398,10 @@ def score_block(model: Model, block: Block, fine: np.ndarray | None = None) -> n
     for s, n in lanes.steps:
         active = len(s)
         x, gate, outcome, of = _inputs(model, symbols, lanes.places(s, n))
-        lane = _take(np.repeat(np.arange(active), n), of)
-        first = np.searchsorted(lane, np.arange(active))  # first decision of each lane
+        lane = _take(np.repeat(np.arange(active) * _GATES, n), of)
+        first = np.searchsorted(lane, np.arange(active) * _GATES)  # first decision of each lane
         weights = ((own[:, :active, None] + model.weights.T[:, None, :]) * scale).reshape(INPUTS, -1)
-        lane *= _GATES
+        gate = gate.astype(np.int64)
         lane += gate
         z = _mixed(weights, x, lane)
         place = np.clip(z, -8, 8)
@@ -393,7 +410,8 @@ def score_block(model: Model, block: Block, fine: np.ndarray | None = None) -> n
         place += np.float32(0.5)
         z *= np.float32(0.5)
         at = place.astype(np.int64)
-        at += _take(np.arange(_GATES) * _FINE, gate)
+        gate *= _FINE
+        at += gate
         z += _take(fine, at)
         z *= outcome
         np.negative(z, out=z)
@@ -432,15 +450,15 @@ def count_meetings(code: Code, levels: list[np.ndarray], bits: int, block: Block
     symbols, held, size = Symbols(block), [], 0
     for lo in range(0, len(symbols.symbol), PIECE):
         part = slice(lo, lo + PIECE)
-        of, step = decisions(code, symbols.symbol[part], symbols.context[part])
+        lines = [(h[part] >> np.uint32(32 - bits)).astype(np.int64) for h in symbols.hashes]
+        step, *slots = side_by_side(code, entries(code, symbols.symbol[part], symbols.context[part]), *lines)
         mark = marks(step)
-        met = (step & np.uint32(7)).astype(np.int64)
-        met *= LEVELS
+        met = step & np.uint32(7)
+        met *= np.uint32(LEVELS)
         met += _take(levels[0], step >> np.uint32(3))
-        for h, level in zip(symbols.hashes, levels[1:]):
-            slot = _take((h[part] >> np.uint32(32 - bits)).astype(np.int64), of)
+        for slot, level in zip(slots, levels[1:]):
             slot ^= mark
-            met *= LEVELS
+            met *= np.uint32(LEVELS)
             met += _take(level, slot)
         held.append(met)
         size += len(met)
@@ -692,9 +710,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     n_docs = int(pairs[:, END].sum())
     total, kinds = n_words + n_docs, n_distinct + (n_docs > 0)
     # at most HOT_WORDS words of at most HOT_WORD_BYTES bytes
-    hot = is_hot("c", n_words, HOT_WORDS) & (F.octet_length("word") <= HOT_WORD_BYTES)
+    hot = (F.col("c") >= _least_hot(counts)) & (F.octet_length("word") <= HOT_WORD_BYTES)
     frequent = counts.where(hot).toArrow()
-    known = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("c").to_numpy() + 1).tolist()))
+    known = Known.of(frequent.column("word").combine_chunks(), np.log10(frequent.column("c").to_numpy() + 1))
     model = train(learned.select("text"), pairs)
     shared = spark.sparkContext.broadcast((model, known, math.log10(n_docs + 1), math.log10(total + kinds + 1)))
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
@@ -707,7 +725,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     picked.mapInArrow(lambda batches: _score_batches(batches, shared, n_docs > 0), schema).write.parquet(path)
     scored = spark.read.parquet(path)
     uses = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")
-    rare = uses.join(counts.where(~hot), "word")  # none of them in a large share of the rows
+    # none of them in a large share of the rows; each once in the hashed side, so that nothing is sorted
+    rare = uses.join(counts.where(~hot).hint("shuffle_hash"), "word")
     far = rare.groupBy("uid").agg(F.sum("n").alias("far_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("far_sum"))
     zero = F.lit(0)
     return scored.join(far, "uid", "left").select(
@@ -723,14 +742,60 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
-def _base(texts: pa.Array, known: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Words of each text; number and sum of logarithms of the known ones; the others with their numbers."""
+@dataclass
+class Known:
+    """Words with their values, in the order of their hashes, so that a task builds no table of them."""
+
+    words: pa.Array
+    hashes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, values: np.ndarray) -> "Known":
+        hashes = _word_hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        return cls(words.take(pa.array(order)), hashes[order], values[order])
+
+    def get(self, names: pa.Array) -> np.ndarray:
+        """The value of each name, NaN where it is not among the words; equal hashes are not enough."""
+        found, hashes = np.full(len(names), np.nan), _word_hashes(names)
+        at = np.searchsorted(self.hashes, hashes)
+        left = np.arange(len(names))
+        while len(left := left[at[left] < len(self.words)]):
+            left = left[self.hashes[at[left]] == hashes[left]]
+            same = pc.equal(names.take(pa.array(left)), self.words.take(pa.array(at[left]))).to_numpy(zero_copy_only=False)
+            found[left[same]] = self.values[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+        return found
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    flat = words.cast(pa.large_string())
+    at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = flat.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    starts, ends = at[:-1] - at[0], at[1:] - at[0]
+    return Block(0, raw[at[0] : at[-1]], starts, ends).hashes(starts, ends)
+
+
+def _least_hot(counts: DataFrame) -> int:
+    """The least count that at most ``HOT_WORDS`` words reach."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).toArrow()  # all counts add up to those of the words, so few differ
+    c, n = sizes.column("c").to_numpy(), sizes.column("n").to_numpy()
+    order = np.argsort(-c)
+    few = c[order][np.cumsum(n[order]) <= HOT_WORDS]
+    return int(few[-1]) if len(few) else int(c.max(initial=0)) + 1
+
+
+def _base(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text; number and sum of logarithms of the known ones (given with theirs); the others with their numbers."""
     lists, n = _words(texts), len(texts)
     owner, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy()
     names = flat.dictionary
-    logs = np.fromiter((known.get(w, np.nan) for w in names.to_pylist()), np.float64, len(names))
-    some = np.fromiter((w != "" for w in names.to_pylist()), bool, len(names))[codes]
+    logs = known.get(names)
+    some = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[codes]
     owner, codes = owner[some], codes[some]
     own = logs[codes]
     near = ~np.isnan(own)

@@ -462,3 +462,41 @@ def test_nulls_repeats_and_clashing_names(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert [out.count() for out in all_three(df)] == [0, 0, 0]
+
+
+def test_paths_side_by_side_are_the_paths():
+    counts = np.random.default_rng(3).integers(0, 50, (mixing.CLASSES * 257, 257))
+    code = mixing.build_code(counts)
+    entry = np.random.default_rng(4).integers(0, len(code.start), 5000)
+    value = np.arange(len(entry)) * 3
+    of, step = mixing.paths(code, entry)
+    steps, values = mixing.side_by_side(code, entry, value)
+    assert sorted(zip(steps.tolist(), values.tolist())) == sorted(zip(step.tolist(), value[of].tolist()))
+    steps, values = mixing.side_by_side(code, entry[:0], value[:0])
+    assert len(steps) == len(values) == 0
+
+
+def test_words_are_found_by_themselves_not_by_hash_alone(monkeypatch):
+    words = pa.array(["the", "of", "été", "x" * 70, "of the"])
+    names = pa.array(["of", "été", "ete", "", "x" * 70, "the", "X"])
+    expected = [1.0, 2.0, np.nan, np.nan, 3.0, 0.0, np.nan]
+    for hashes in (mixing._word_hashes, lambda some: np.full(len(some), 7, np.uint64)):
+        monkeypatch.setattr(mixing, "_word_hashes", hashes)
+        known = mixing.Known.of(words, np.arange(5.0))
+        assert np.array_equal(known.get(names), expected, equal_nan=True)
+        assert len(known.get(names[:0])) == 0
+        assert np.isnan(mixing.Known.of(words[:0], np.zeros(0)).get(names)).all()
+
+
+def test_most_words_are_looked_up_where_the_texts_are(spark, monkeypatch):
+    """Few words are left for a shuffle, and which ones does not matter."""
+    docs = spark.createDataFrame([(i, f"the of w{i % 40} w{i % 40} once{i}") for i in range(200)], "doc_id long, text string")
+    counts = docs.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    found = []
+    for most, least in ((1 << 19, 1), (42, 10), (41, 200), (2, 200), (1, 201)):
+        monkeypatch.setattr(mixing, "HOT_WORDS", most)
+        assert mixing._least_hot(counts) == least
+        if most in (1 << 19, 42, 1):
+            scored = mixing.score_texts(docs).select("doc_id", "n_tokens", "n_known", F.round("base_score", 9).alias("b"))
+            found.append(sorted(map(tuple, scored.collect())))
+    assert found[0] == found[1] == found[2]
