@@ -174,7 +174,8 @@ def meet(left: DataFrame, right: DataFrame, right_size: Extent, begin, schema) -
                     if end is not None:
                         yield end()
                     number = here
-                    add, end = begin(_panel(batch.columns[:width], row))
+                    # Kept beyond its batch, which it must not keep as well.
+                    add, end = begin(_panel([c.take(pa.array([row])) for c in batch.columns[:width]], 0))
                 out = add(_panel(batch.columns[width:], row))
                 if out is not None:
                     yield out

@@ -1,6 +1,7 @@
 """Panels: what travels does not follow the block size, results equal brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,26 @@ def test_kernels_across_tiles(seed, monkeypatch):
         scores = np.round(unit_a[q] @ unit_b.T, 12)
         top = [i for i in np.lexsort((others, -scores)) if scores[i] > -0.3][:k]
         assert found["id"][found["query_id"] == q].tolist() == others[top].tolist()
+
+
+def test_a_panel_that_is_kept_does_not_keep_its_batch(rows):
+    """A task keeps one panel of the left side while batches of up to 64 MiB go by."""
+    df, _ = rows
+    size = B.extent_of(df)
+    packed = B.panels(df.select("id", "embedding"), size, 8 * 8 * 4)
+
+    def begin(panel):
+        held = panel.ids
+        while isinstance(held, np.ndarray):
+            held = held.base
+        held = held.buffers()[1]
+        while held.parent is not None:
+            held = held.parent
+
+        def end():
+            return pa.RecordBatch.from_arrays([pa.array([panel.ids.nbytes]), pa.array([held.size])], ["own", "held"])
+
+        return lambda other: None, end
+
+    found = B.meet(packed, packed, size, begin, "own long, held long").collect()
+    assert len(found) > 1 and all(r.held <= r.own + 64 for r in found)
