@@ -126,3 +126,35 @@ def test_a_panel_that_is_kept_does_not_keep_its_batch(rows):
 
     found = B.meet(packed, packed, size, begin, "own long, held long").collect()
     assert len(found) > 1 and all(r.held <= r.own + 64 for r in found)
+
+
+def test_the_other_side_is_read_once_for_several_panels(spark, rows, monkeypatch):
+    """100 panels went through 100 tasks, each of which read the other side anew."""
+    df, _ = rows
+    monkeypatch.setattr(B, "PANEL_BYTES", 8 * 8 * 2)
+    size = B.extent_of(df)
+    left = B.panels(df.select("id", "embedding"), size, 8 * 8 * 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    other = df.select("id", "embedding").coalesce(1).mapInArrow(counted, "id long, embedding array<double>")
+    right = B.panels(other, size, 8 * 8 * 4, in_place=True)
+
+    def begin(panel):
+        met = []
+
+        def end():
+            ids = np.repeat(panel.ids, len(met))
+            columns = [pa.array(ids), pa.array(np.tile(met, len(panel.ids)).astype(np.int64)), pa.array(np.repeat(panel.matrix.sum(axis=1), len(met)))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "met", "total"])
+
+        return lambda panel: met.extend(panel.ids.tolist()), end
+
+    found = B.meet(left, right, size, begin, "id long, met long, total double").distinct()
+    sums = df.select("id", F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x).alias("total"))
+    assert found.join(sums, ["id", "total"]).count() == 400 * 400
+    assert 0 < read.value <= 400 * max(B.LEAST_PANELS, 2 * spark.sparkContext.defaultParallelism)
