@@ -158,3 +158,20 @@ def test_the_other_side_is_read_once_for_several_panels(spark, rows, monkeypatch
     sums = df.select("id", F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x).alias("total"))
     assert found.join(sums, ["id", "total"]).count() == 400 * 400
     assert 0 < read.value <= 400 * max(B.LEAST_PANELS, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_a_panel_makes_its_side_of_the_product_once(monkeypatch):
+    from lexivane.operators import quality
+
+    made, plain = [], LabelSums.left
+    monkeypatch.setattr(LabelSums, "left", staticmethod(lambda matrix: made.append(len(matrix)) or plain(matrix)))
+    rng = np.random.default_rng(3)
+    matrix, codes = rng.standard_normal((90, 4)), rng.integers(0, 3, 90)
+    parts = [B.Panel(n, np.arange(n, 90, 3), matrix[n::3], codes[n::3]) for n in range(3)]
+    add, end = quality._gather_sums(parts[0])
+    for part in parts:
+        add(part)
+    found = {(r["id"], r["code"]): r["total"] for r in end().to_pylist()}
+    d = np.sqrt(((matrix[:, None] - matrix[None]) ** 2).sum(axis=2))
+    assert found == pytest.approx({(i, c): d[i, codes == c].sum() for i in range(0, 90, 3) for c in range(3)})
+    assert made == [30]
